@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwatch.llm import bpe, sharding, token_counts, warc
+from shelfwatch.llm import bpe, rules, secrets, sharding, token_counts, warc
 from shelfwatch.llm.common import table
 
 
@@ -38,11 +38,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_minimax_shards": op4_minimax_shards,
     "op7_token_counts": op7_token_counts,
+    "op9_rule_quality": op9_rule_quality,
+    "op10_secret_spans": op10_secret_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
