@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwatch.llm import bpe, decontaminate, rules, secrets, sharding, token_counts, warc
+from shelfwatch.llm import bpe, decontaminate, neardup, rules, secrets, sharding, token_counts, warc
 from shelfwatch.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cluster(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_passages": op2_benchmark_passages,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_minimax_shards": op4_minimax_shards,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_token_counts": op7_token_counts,
     "op9_rule_quality": op9_rule_quality,
     "op10_secret_spans": op10_secret_spans,
