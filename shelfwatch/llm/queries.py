@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwatch.llm import bpe, decontaminate, neardup, rules, secrets, sharding, token_counts, warc
+from shelfwatch.llm import bpe, decontaminate, hamming, neardup, rules, secrets, sharding, token_counts, warc
 from shelfwatch.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op6_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest_codes(table(spark, sf_dir, "embeddings"), every=20, k=10)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_minimax_shards": op4_minimax_shards,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_nearest_codes": op6_nearest_codes,
     "op7_token_counts": op7_token_counts,
     "op9_rule_quality": op9_rule_quality,
     "op10_secret_spans": op10_secret_spans,
