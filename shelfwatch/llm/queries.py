@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwatch.llm import bpe, decontaminate, hamming, neardup, rules, secrets, sharding, token_counts, warc
+from shelfwatch.llm import bpe, decontaminate, hamming, idfile, neardup, rules, secrets, sharding, token_counts, warc
 from shelfwatch.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_nearest_codes": op6_nearest_codes,
     "op7_token_counts": op7_token_counts,
+    "op8_id_files": op8_id_files,
     "op9_rule_quality": op9_rule_quality,
     "op10_secret_spans": op10_secret_spans,
 }

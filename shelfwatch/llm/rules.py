@@ -200,3 +200,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     flat = keyed_text(docs, id_col, text_col).select("doc_id", *(c.alias(f"s_{n}") for n, c in stats.items() if any(model.names[f] == n for r in model.rules for f, _, _ in r.terms)))
     scored = flat.select("doc_id", (bucket(F.col("doc_id")) == 2).alias("held_out"), model.score({n: F.col(f"s_{n}") for n in stats}).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, that score at least the threshold."""
+    model = train(docs, labels, sample, id_col, text_col)
+    stats = {n: c for n, c in statistics(F.coalesce(docs[text_col].cast("string"), F.lit(""))).items() if any(model.names[f] == n for r in model.rules for f, _, _ in r.terms)}
+    if not stats:
+        return docs.where(model.score({}) >= threshold)
+    # A generator computes each statistic once: a filter isn't moved below it, as it would be below a projection.
+    flat = docs.select("*", F.inline(F.array(F.struct(*(c.alias(f"_s_{n}") for n, c in stats.items())))))
+    return flat.where(model.score({n: F.col(f"_s_{n}") for n in stats}) >= threshold).select(*docs.columns)
