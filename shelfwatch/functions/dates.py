@@ -14,7 +14,8 @@ def iso_date(s: Column) -> Column:
     t = F.regexp_replace(F.trim(s), "Z$", "+00:00")
     t = F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})(?=$|T)", "$1-$2-$3")
     t = F.regexp_replace(t, r"([T ]\d{2})(?=$|[+-])", "$1:00")
-    t = F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    t = F.regexp_replace(t, r"([T ]\d{2}:\d{2})(?=$|[+-])", "$1:00")
+    t = F.regexp_replace(t, r"(:\d{2}[+-]\d{2})(\d{2})$", "$1:$2")
     return F.when(t.rlike(ISO), F.to_date(t.try_cast("timestamp")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 from dataclasses import fields
 from datetime import datetime
 from functools import reduce
@@ -42,11 +43,17 @@ class Run:
         self.run_day = datetime.strptime(run_id, "%Y%m%d").date()
         self.lang = "zh" if self.s.language.strip().lower() in ("zh", "zh-cn", "zh-hans", "cn", "simplified", "simplified-chinese") else "en"
 
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table beside the store: what several outputs of a run share is computed once and survives lost executors."""
+        at = f"{self.store.path}-runs/{self.run_id}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
     def classified(self, products: DataFrame, lastmods: DataFrame) -> DataFrame:
         """products, described and marked new or not; known ones are recorded in the store, whether in the window or not."""
         order = F.struct("source", "pos", "item")
         about = products.select("url", F.coalesce(F.nullif(text.field(F.col("page_text")), F.lit("")), text.sanitized(F.col("body_html"), 0, False)).alias("description"), order.alias("pos"))
-        rows = classify.described(products.drop("modified"), about, products.select("url", "modified", order.alias("pos")), lastmods)
+        rows = self.saved(classify.described(products.drop("modified"), about, products.select("url", "modified", order.alias("pos")), lastmods), "described")
         out = classify.marked(rows, self.store.read(), F.lit(self.run_day), WINDOW_DAYS, True, order=["source", "pos", "item"])
         # The store read above is the old snapshot, before and after the upsert below.
         stamp = f"{self.run_day.isoformat()}T00:00:00+00:00"
@@ -71,7 +78,7 @@ class Run:
 
     def new_items(self, day_reports: DataFrame) -> DataFrame:
         """Items of the day's reports that are new by the store, which is only read."""
-        found = reparse.items(day_reports)
+        found = self.saved(reparse.items(day_reports), "items")
         rows = found.withColumns({"hash": classify.seen_hash(F.col("url"), F.col("name"), F.max_by("description", F.struct("file_name", "item")).over(_by_url())), "published": F.lit(""), "modified": F.lit(""), "lastmod": F.lit("")})
         marked = classify.marked(rows, self.store.read(), F.lit(self.run_day), WINDOW_DAYS, False)
         return classify.new_items(found, marked)
@@ -79,7 +86,7 @@ class Run:
     def digests(self, day_reports: DataFrame, names: DataFrame) -> DataFrame:
         """(file_name, text) of the digests; names: (name, pos) of all sources, of which missing ones count as failed."""
         ranked = day_reports.withColumn("pos", F.col("file_name"))
-        items = self.new_items(day_reports).withColumn("pos", F.struct("file_name", "item"))
+        items = self.saved(self.new_items(day_reports), "new").withColumn("pos", F.struct("file_name", "item"))
         entries = items.withColumn("entry", render.entry([(c, text.field(F.col(c), 400 if c == "url" else 200)) for c in ("roaster", "product_id", "name", "url")], text.field(F.col("list_price"), 40), text.field(F.col("badge"), 40), F.col("variant_lines"), text.field(F.col("description"), self.s.batch_page_text_max_chars)))
         jobs = render.digest_jobs(ranked, entries, self.lang, self.s.new_products_digest)
         there = day_reports.select("file_name")
@@ -97,7 +104,7 @@ class Run:
         wanted = self.sources if only is None else [s for s in self.sources if s.name in {r.name for r in only.select("name").collect()}]
         names = self.spark.createDataFrame([(s.name, i) for i, s in enumerate(self.sources)], "name string, pos int")
         if wanted:
-            found = with_page_text(products_of(responses, wanted, self.s.max_products_per_source), pages, self.s.page_text_max_chars)
+            found = self.saved(with_page_text(products_of(responses, wanted, self.s.max_products_per_source), pages, self.s.page_text_max_chars), "products")
             self.classified(found, lastmods)
             if self.s.save_report:
                 reports.write(self.report_rows(found), self.s.reports_dir)
