@@ -28,7 +28,7 @@ def write(reports: DataFrame, folder: str) -> None:
     jvm = spark.sparkContext._jvm
     fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.setWriteChecksum(False)  # people edit reports, which a checksum beside them would forbid
-    for r in reports.select("file_name", "text").toLocalIterator():
+    for r in reports.select("file_name", "text").toLocalIterator(prefetchPartitions=True):
         out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, r.file_name), True)
         out.write(bytearray(r.text.encode()))
         out.close()

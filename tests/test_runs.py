@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfwatch.operators import classify, relational, render, reparse, seen
@@ -111,7 +112,15 @@ def test_evaluator(spark):
     assert got.text == "Report on 0 products."
 
 
-def test_whole_runs(spark, tmp_path):
+@pytest.fixture
+def few_tasks(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_whole_runs(spark, tmp_path, few_tasks):
     feed = lambda *hs: json.dumps({"products": [{"id": i, "title": h, "handle": h, "body_html": f"<p>about {h}</p>", "published_at": "2024-01-29T00:00:00Z" if i % 2 else ""} for i, h in enumerate(hs)]})
     responses = spark.createDataFrame([("One", 1, "", "https://one", "application/json", feed("a", "b", "c")), ("Two", 1, "", "https://two", "text/html", "<a href='/products/x'>X</a>")], "source string, pos long, url string, base_url string, content_type string, body string")
     pages = spark.createDataFrame([("https://two/products/x", "<p>Page of x</p>", "Mon, 29 Jan 2024 00:00:00 GMT")], "url string, html string, modified string")
