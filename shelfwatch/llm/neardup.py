@@ -8,8 +8,9 @@ Independent trees are repeated to the target recall, which the branching process
 
 Leaves are compared in two steps, neither of which lists all pairs of a group. First every class with its node's
 pivot: a group of thousands of near copies hangs together after that. Then, exhaustively, only classes of one node
-that aren't connected yet; in a node still large, those not connected to the pivot against all, in chunks. Candidates
-whose signatures agree too little go, the rest is confirmed on the full sets. Components are found by min-label
+that aren't connected yet; in a node still large, those not connected to the pivot against all, in blocks of bounded
+size. Candidates whose signatures agree too little go, the rest is confirmed on the full sets, and a block gives no
+more links than connect it. Components are found by min-label
 propagation with pointer jumping over the links in the shared folder.
 """
 
@@ -211,9 +212,9 @@ def plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(ws: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs whose full sets are similar enough. Only the sets of classes in a pair are made again, from one document each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid").select(F.col("cid").alias("want"), "rep")
+def full_sets(ws: Workspace, docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int) -> DataFrame:
+    """(cid, shingles) of the classes in cids, made again from one document each."""
+    wanted = cids.distinct().join(classes.select("cid", "rep"), "cid").select(F.col("cid").alias("want"), "rep")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("want", "text")
     made = pa.schema([("cid", pa.int64()), ("shingles", pa.binary())])
 
@@ -226,7 +227,12 @@ def confirmed(ws: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFra
                 if rows:
                     yield batch_of(made, zip(*rows, strict=True))
 
-    made_sets = ws.save(texts.mapInArrow(sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
+    return ws.save(texts.mapInArrow(sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
+
+
+def confirmed(ws: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those pairs whose full sets are similar enough."""
+    made_sets = full_sets(ws, docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cid")), k)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,62 +264,112 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
             return labels
 
 
-def unconnected(ws: Workspace, leaf: DataFrame, labels: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of classes that share a leaf but no component, compared exhaustively.
+def blocks_of(leaf: DataFrame, labels: DataFrame) -> DataFrame:
+    """(path, block, cid, label, minor, home) of the leaves that hold several components.
 
-    In a leaf of over NODE classes each class is in one of several chunks; those not in the pivot's component also
-    go into all others, so pairs within that component are never formed.
+    A leaf of up to NODE classes is one block. In a larger one the classes outside the pivot's component, the minor
+    ones, are to meet all others, and those of that component each other no more: both kinds are cut into parts of
+    about NODE classes, and a block is two parts that have to meet.
     """
     marked = leaf.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    open_nodes = marked.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("path")
     root = labels.select(F.col("cid").alias("pivot"), F.col("label").alias("pivot_label"))
-    rows = ws.save(marked.join(open_nodes, "path", "left_semi"), "open").join(root, "pivot", "left")
-    rows = rows.withColumn("chunks", F.ceil(F.col("size") / NODE).cast("int")).withColumn("home", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-    minor = F.col("label") != F.coalesce("pivot_label", "pivot")
-    rows = rows.withColumn("minor", minor).withColumn("chunk", F.explode(F.when(minor & (F.col("chunks") > 1), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))))
-    rows = rows.join(classes.select("cid", "n", "sig"), "cid").select("path", "chunk", "cid", "label", "n", "home", "sig")
-    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(parts, "path", "chunk").sortWithinPartitions("path", "chunk")
-
-    def compare(group: tuple) -> tuple[np.ndarray, np.ndarray]:
-        chunk, cid, label, n, home, sig = group
-        out_a, out_b = [], []
-        for i in range(len(cid) - 1):
-            rest = slice(i + 1, None)
-            own = (home[i] == chunk) | (home[rest] == chunk)  # two guests meet elsewhere
-            ok = own & (label[rest] != label[i]) & (cid[rest] != cid[i]) & fair(n[i], n[rest], sig[i], sig[rest], similarity)
-            if ok.any():
-                b = cid[rest][ok]
-                out_a.append(np.minimum(cid[i], b))
-                out_b.append(np.maximum(cid[i], b))
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def groups(last: bool) -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            path, chunk = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-            ends = np.flatnonzero((path[1:] != path[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-            cuts = [0, *ends.tolist(), *([len(path)] if last else [])]
-            cols = [whole.column(i).to_numpy() for i in range(2, 6)]
-            sig = sig_of(whole.column(6).combine_chunks())
-            held[:] = [] if last else whole.slice(cuts[-1]).to_batches()
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                if y - x > 1:
-                    cid, label, n, home = (c[x:y] for c in cols)
-                    a, b = compare((chunk[x], cid, label, n, home, sig[x:y]))
-                    if len(a):
-                        yield batch_of(PAIRS, (a, b))
-
-        for big in batches:
-            for at in range(0, big.num_rows, 20_000):
-                held.append(big.slice(at, 20_000))
-                yield from groups(False)
-        if held and sum(h.num_rows for h in held):
-            yield from groups(True)
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    marked = marked.join(root, "pivot", "left").withColumn("minor", F.col("label") != F.coalesce("pivot_label", "pivot"))
+    nodes = marked.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if("minor").alias("minors")).where("low <> high").select("path", "minors")
+    rows = marked.join(nodes, "path")
+    parts = lambda n: F.ceil(n / F.lit(NODE)).cast("long")
+    rows = rows.withColumns({"guests": parts(F.col("minors")), "hosts": F.greatest(F.lit(1).cast("long"), parts(F.col("size") - F.col("minors")))})
+    rows = rows.withColumn("home", F.when(F.col("size") <= NODE, F.lit(0)).otherwise(F.pmod(F.xxhash64("cid"), F.when(F.col("minor"), F.col("guests")).otherwise(F.col("hosts")))))
+    block = lambda kind, x, y: F.lit(kind << 40) + F.shiftleft(x, 20) + y
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    home = F.col("home")
+    with_hosts = F.transform(upto(F.col("hosts")), lambda c: block(1, c, home))
+    with_guests = F.transform(upto(F.col("guests")), lambda g: block(2, F.least(g, home), F.greatest(g, home)))
+    as_host = F.transform(upto(F.col("guests")), lambda g: block(1, home, g))
+    where = F.when(F.col("size") <= NODE, F.array(F.lit(0).cast("long"))).when(F.col("minor"), F.concat(with_hosts, with_guests)).otherwise(as_host)
+    return rows.select("path", F.explode(where).alias("block"), "cid", "label", "minor", "home")
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The tables of rows that agree in the first two columns, from batches sorted by these."""
+    held: list[pa.Table] = []
+    for big in batches:
+        for at in range(0, big.num_rows, 2_000):
+            held.append(pa.Table.from_batches([big.slice(at, 2_000)]))
+            whole = pa.concat_tables(held)
+            x, y = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist()]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield whole.slice(a, b - a)
+            held = [whole.slice(cuts[-1])]
+    if held and held[0].num_rows:
+        yield held[0]
+
+
+def meeting(t: pa.Table, similarity: float) -> np.ndarray | None:
+    """Which rows of a block are to be compared: not of one component, met in this block, and fair. None if there are none."""
+    block = int(t.column(1)[0].as_py())
+    cid, label, minor, home, n = (t.column(c).to_numpy() for c in range(2, 7))
+    ok = label[:, None] != label[None, :]
+    if block >> 40 == 1:
+        ok &= minor[:, None] != minor[None, :]
+    elif block >> 40 == 2 and (block >> 20) % (1 << 20) != block % (1 << 20):
+        ok &= home[:, None] != home[None, :]
+    ok &= cid[:, None] < cid[None, :]
+    if not ok.any():
+        return None
+    sig = sig_of(t.column(7).combine_chunks())
+    a, b = np.nonzero(ok)
+    ok[a, b] = fair(n[a], n[b], sig[a], sig[b], similarity)
+    return ok if ok.any() else None
+
+
+def other_links(ws: Workspace, docs: DataFrame, leaf: DataFrame, labels: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between classes that share a leaf but no component, compared exhaustively on their full sets.
+
+    First the classes that have anyone to be compared with are told, then their sets come to the blocks. Of a block's
+    links only those that connect what it hasn't connected yet are given, so their number is below its rows'.
+    """
+    spark, similarity = docs.sparkSession, percent / 100
+    tasks = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    together = lambda df: df.repartition(tasks, "path", "block").sortWithinPartitions("path", "block")
+    blocks = ws.save(blocks_of(leaf, labels), "blocks")
+    rows = blocks.join(classes.select("cid", "n", "sig"), "cid").select("path", "block", "cid", "label", "minor", "home", "n", "sig")
+    told = pa.schema([("path", pa.int64()), ("block", pa.int64()), ("cid", pa.int64())])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches):
+            if t.num_rows > 1 and (ok := meeting(t, similarity)) is not None:
+                at = np.flatnonzero(ok.any(axis=0) | ok.any(axis=1))
+                yield batch_of(told, (t.column(c).to_numpy()[at] for c in range(3)))
+
+    chosen = ws.save(together(rows).mapInArrow(members, "path long, block long, cid long"), "chosen")
+    sets = full_sets(ws, docs, classes, chosen.select("cid"), k)
+    whole = rows.join(chosen, ["path", "block", "cid"]).join(sets, "cid").select("path", "block", "cid", "label", "minor", "home", "n", "sig", "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches):
+            if t.num_rows < 2 or (ok := meeting(t, similarity)) is None:
+                continue
+            cid, part, n = t.column(2).to_numpy(), t.column(3).to_numpy().copy(), t.column(6).to_numpy()
+            flat = np.unique(np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint64), return_inverse=True)[1]
+            first = np.concatenate([[0], np.cumsum(n)])
+            seen, out = np.zeros(int(flat.max()) + 1, bool), []
+            for i in range(len(cid)):
+                js = np.flatnonzero(ok[i] & (part != part[i]))
+                if not len(js):
+                    continue
+                mine = flat[first[i] : first[i + 1]]
+                seen[mine] = True
+                same = np.array([int(seen[flat[first[j] : first[j + 1]]].sum()) for j in js])
+                seen[mine] = False
+                for j in js[100 * same >= percent * (n[i] + n[js] - same)]:
+                    if part[j] != part[i]:
+                        out.append((int(cid[i]), int(cid[j])))
+                        part[part == part[j]] = part[i]
+            if out:
+                yield batch_of(PAIRS, zip(*out, strict=True))
+
+    return together(whole).mapInArrow(compare, "a long, b long")
 
 
 def cluster(docs: DataFrame, shingle_words: int = 5, percent: int = 80, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,11 +391,10 @@ def cluster(docs: DataFrame, shingle_words: int = 5, percent: int = 80, recall:
     star = ws.save(plausible(star, classes, similarity), "star")
     links = ws.save(confirmed(ws, docs, classes, star, shingle_words, percent), "star_links")
     labels = components(ws, links)
-    rest = ws.save(unconnected(ws, leaf, labels, classes, similarity), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(ws.save(confirmed(ws, docs, classes, rest, shingle_words, percent), "rest_links"))
-        labels = components(ws, links)
-    ws.drop("leaves", "open", "sets", "star", "rest", *(f"held{d}" for d in range(MOST_DEPTH + 1)))
+    more = ws.save(other_links(ws, docs, leaf, labels, classes, shingle_words, percent), "other_links")
+    if not more.isEmpty():
+        labels = components(ws, links.unionByName(more))
+    ws.drop("leaves", "blocks", "chosen", "sets", "star", *(f"held{d}" for d in range(MOST_DEPTH + 1)))
     labelled = classes.select("cid", "rep").join(labels, "cid")
     least = labelled.groupBy("label").agg(F.min("rep").alias("least"))
     linked = ws.save(labelled.join(least, "label").select("cid", "least"), "linked")
