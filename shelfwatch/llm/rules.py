@@ -117,20 +117,25 @@ def grow(binned: np.ndarray, edges: list[np.ndarray], y: np.ndarray, rows: np.nd
 
 
 def lasso(rules: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic weights with an L1 penalty and a free bias, by accelerated proximal gradient."""
+    """Logistic weights with an L1 penalty and a free bias, by accelerated proximal gradient.
+
+    Products with the rules, which are zeros and ones, are in their own precision: another would copy them each time.
+    """
     n, p = rules.shape
+    over_rules = lambda x: (rules @ x.astype(rules.dtype)).astype(np.float64)
+    over_rows = lambda x: (x.astype(rules.dtype) @ rules).astype(np.float64)
     w, b = np.zeros(p), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     v, vb, t = w.copy(), b, 1.0
     x = np.random.default_rng(SEED).normal(size=p + 1)
     for _ in range(20):  # the largest curvature, by power iteration
-        r = rules @ x[:p] + x[p]
-        x = np.append(rules.T @ r, r.sum())
+        r = over_rules(x[:p]) + x[p]
+        x = np.append(over_rows(r), r.sum())
         norm = np.linalg.norm(x)
         x /= norm
     step = 4 * n / (norm * 1.05)
     for _ in range(steps):
-        g = 1 / (1 + np.exp(-(rules @ v + vb))) - y
-        w2 = v - step * (rules.T @ g) / n
+        g = 1 / (1 + np.exp(-(over_rules(v) + vb))) - y
+        w2 = v - step * over_rows(g) / n
         w2 = np.sign(w2) * np.maximum(np.abs(w2) - step * penalty, 0)
         b2 = vb - step * g.mean()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -166,7 +171,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: tuple[str, ...]) -> Model:
     best = None
     for penalty in (0.02, 0.01, 0.005, 0.002, 0.001):
         w, b = lasso(z[~held], y[~held], penalty)
-        p = np.clip(1 / (1 + np.exp(-(z[held] @ w + b))), 1e-6, 1 - 1e-6)
+        p = np.clip(1 / (1 + np.exp(-(z[held] @ w.astype(z.dtype) + b))), 1e-6, 1 - 1e-6)
         loss = -np.mean(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p)) if held.any() else penalty
         if best is None or loss < best[0] - 1e-4:
             best = loss, penalty
