@@ -213,6 +213,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample
     stats = {n: c for n, c in statistics(F.coalesce(docs[text_col].cast("string"), F.lit(""))).items() if any(model.names[f] == n for r in model.rules for f, _, _ in r.terms)}
     if not stats:
         return docs.where(model.score({}) >= threshold)
-    # A generator computes each statistic once: a filter isn't moved below it, as it would be below a projection.
-    flat = docs.select("*", F.inline(F.array(F.struct(*(c.alias(f"_s_{n}") for n, c in stats.items())))))
-    return flat.where(model.score({n: F.col(f"_s_{n}") for n in stats}) >= threshold).select(*docs.columns)
+    # The partition's number, which counts as nondeterministic, holds the filter above the projection: below it, each rule would compute its statistics anew.
+    flat = docs.select(F.struct("*").alias("_row"), *(c.alias(f"_s_{n}") for n, c in stats.items()), F.spark_partition_id().alias("_part"))
+    good = flat.where((F.col("_part") >= 0) & (model.score({n: F.col(f"_s_{n}") for n in stats}) >= threshold))
+    return good.select("_row.*")
