@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and strings that a dictionary-primed zstandard coder finds new.
 
-A candidate is a run of key-like characters close behind a sensitive word. Its novelty is its marginal compressed
-size: the bytes that the text before it takes with the candidate, less the bytes it takes without, coded by zstandard
-with a dictionary of identifiers and of the code around. A name, a path or a repeated value costs next to nothing
+A candidate is a run of key-like characters close behind a sensitive word; of NAME=value it is the value. Its novelty
+is its marginal compressed size: the bytes that the text before it takes with the candidate, less the bytes it takes
+without, coded by zstandard with a dictionary of identifiers and of the code around. A name, a path or a repeated value costs next to nothing
 there; a key costs most of its entropy. What costs at least NOVEL of its length in bytes is reported.
 """
 
@@ -28,6 +28,8 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 SENSITIVE = re.compile(r"(?<![a-z])(?:passphrase|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|signing[_-]?key|credentials?|bearer|authorization|auth[_-]?key|cookie[_-]?key)(?![a-z])", re.IGNORECASE | re.ASCII)
 SENSITIVE_WORDS = (*ASSIGN_WORDS, b"passphrase", b"pwd", b"key", b"credential", b"bearer", b"authorization")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_~=-]{16,}", re.ASCII)
+NAME = re.compile(r"[A-Za-z0-9_-]*=+", re.ASCII)
+LEAST_KEY = 16
 REACH, AROUND = 48, 2_000
 NOVEL, LEAST_LETTERS, LEAST_DIGITS = 0.6, 3, 3
 CANDIDATE_CHAR = re.compile(r"[A-Za-z0-9+/_~=-]", re.ASCII)
@@ -54,6 +56,13 @@ def base_spans(text: str, lower: bytes) -> list[Span]:
     return sorted(out)
 
 
+def starts(text: str, a: int, b: int) -> list[int]:
+    """Where a key in the run a:b may begin: at its start, unless that is the tail of the sensitive word's own name, else behind "name="."""
+    out = [] if a and CANDIDATE_CHAR.match(text, a - 1) else [a]
+    named = NAME.match(text, a, b)
+    return [*out, named.end()] if named and b - named.end() >= LEAST_KEY else out
+
+
 class Novelty:
     """Marginal compressed bytes of a string, given the text around it."""
 
@@ -71,6 +80,12 @@ class Novelty:
         context = before[-64:].encode()
         return len(coder.compress(context + own.encode())) - len(coder.compress(context))
 
+    def novel(self, text: str, start: int, end: int) -> bool:
+        s = text[start:end]
+        digits, letters = sum(c.isdigit() for c in s), sum(c.isalpha() for c in s)
+        mixed = letters >= LEAST_LETTERS and (digits >= LEAST_DIGITS or digits and not s.islower() and not s.isupper())
+        return bool(mixed) and self.marginal(text, start, end) >= NOVEL * len(s)
+
     def spans(self, text: str, taken: list[Span]) -> list[Span]:
         """Novel candidates that overlap nothing taken."""
         out, last = [], 0
@@ -84,12 +99,10 @@ class Novelty:
                     m = CANDIDATE.match(text, a)
                     b = m.end()
                 last = max(last, b)
-                s = m[0]
-                digits, letters = sum(c.isdigit() for c in s), sum(c.isalpha() for c in s)
-                mixed = letters >= LEAST_LETTERS and (digits >= LEAST_DIGITS or digits and not s.islower() and not s.isupper())
-                apart = a == 0 or not CANDIDATE_CHAR.match(text, a - 1)  # else it is the tail of the sensitive word's own name
-                if mixed and apart and not any(x < b and a < y for x, _, y in taken) and self.marginal(text, a, b) >= NOVEL * len(s):
-                    out.append((a, 3, b))
+                for x in starts(text, a, b):
+                    if not any(p < b and x < q for p, _, q in taken) and self.novel(text, x, b):
+                        out.append((x, 3, b))
+                        break
         return out
 
 
