@@ -25,7 +25,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN = 12
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-SENSITIVE = re.compile(r"(?<![a-z])(?:passphrase|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|signing[_-]?key|credentials?|bearer|authorization|auth[_-]?key|cookie[_-]?key)(?![a-z])", re.IGNORECASE | re.ASCII)
+# A word ends where letters end or case turns as in accessKey and DBPassword.
+TURN = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+SENSITIVE = re.compile(rf"(?:(?<![A-Za-z])|{TURN})(?i:(?:passphrase|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|signing[_-]?key|credential|bearer|authorization|auth[_-]?key|cookie[_-]?key)s?)(?:(?![A-Za-z])|{TURN})", re.ASCII)
 SENSITIVE_WORDS = (*ASSIGN_WORDS, b"passphrase", b"pwd", b"key", b"credential", b"bearer", b"authorization")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_~=-]{16,}", re.ASCII)
 NAME = re.compile(r"[A-Za-z0-9_-]*=+", re.ASCII)
