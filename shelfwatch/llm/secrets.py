@@ -3,13 +3,18 @@
 A candidate is a run of key-like characters close behind a sensitive word; of NAME=value it is the value. Its novelty
 is its marginal compressed size: the bytes that the text before it takes with the candidate, less the bytes it takes
 without, coded by zstandard with a dictionary of identifiers and of the code around. A name, a path or a repeated value costs next to nothing
-there; a key costs most of its entropy. What costs at least NOVEL of its length in bytes is reported.
+there; a key costs most of its entropy. Every candidate is measured. What costs at least NOVEL of its length in bytes is
+reported, but runs that any long word may look like (letters of one case, or digits only) have to cost PLAIN of it.
+From LONG characters on, where zstandard codes letters by frequency, the bytes that their frequencies ask for do, if
+they are LEAST_BYTES. A long word that neither the dictionary nor the text around knows is as new as a key.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +38,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_~=-]{16,}", re.ASCII)
 NAME = re.compile(r"[A-Za-z0-9_-]*=+", re.ASCII)
 LEAST_KEY = 16
 REACH, AROUND = 48, 2_000
-NOVEL, LEAST_LETTERS, LEAST_DIGITS = 0.6, 3, 3
+NOVEL, PLAIN, LEAST_LETTERS, LEAST_DIGITS = 0.6, 0.88, 3, 3
+LONG, LEAST_BYTES = 64, 12
 CANDIDATE_CHAR = re.compile(r"[A-Za-z0-9+/_~=-]", re.ASCII)
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_secret client_id credentials bearer authorization username user_id session_id "
@@ -65,6 +71,17 @@ def starts(text: str, a: int, b: int) -> list[int]:
     return [*out, named.end()] if named and b - named.end() >= LEAST_KEY else out
 
 
+def least_cost(s: str) -> float:
+    """The new bytes from which a candidate is a key."""
+    digits, letters = sum(c.isdigit() for c in s), sum(c.isalpha() for c in s)
+    cased = not s.islower() and not s.isupper()
+    mixed = letters >= LEAST_LETTERS and (digits >= LEAST_DIGITS or cased)
+    least = (NOVEL if mixed else PLAIN) * len(s)
+    if len(s) < LONG:
+        return least
+    return min(least, max(LEAST_BYTES, sum(n * math.log2(len(s) / n) for n in Counter(s).values()) / 8))
+
+
 class Novelty:
     """Marginal compressed bytes of a string, given the text around it."""
 
@@ -83,10 +100,7 @@ class Novelty:
         return len(coder.compress(context + own.encode())) - len(coder.compress(context))
 
     def novel(self, text: str, start: int, end: int) -> bool:
-        s = text[start:end]
-        digits, letters = sum(c.isdigit() for c in s), sum(c.isalpha() for c in s)
-        mixed = letters >= LEAST_LETTERS and (digits >= LEAST_DIGITS or digits and not s.islower() and not s.isupper())
-        return bool(mixed) and self.marginal(text, start, end) >= NOVEL * len(s)
+        return self.marginal(text, start, end) >= least_cost(text[start:end])
 
     def spans(self, text: str, taken: list[Span]) -> list[Span]:
         """Novel candidates that overlap nothing taken."""
