@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,16 @@ def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id and text those of gone (doc_id, text_hash) have; an id alone may be null or repeated."""
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (text_hash(docs[text_col]) == gone["_hash"]), "left_anti")
+
+
 def groups_of(batch: pa.RecordBatch, text: int, most_chars: int = 4_000_000) -> Iterator[tuple[int, int, list[str]]]:
     """(first row, row after the last, texts) of runs of rows with at most so many characters, a longer text alone; null is ''."""
     col, at, held, out = batch.column(text), 0, 0, []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import batch_of, groups_of, keyed_text, row_count
+from shelfwatch.llm.common import batch_of, groups_of, keyed_text, row_count, text_hash, without
 
 MAX_EDIT = 0.25
 RECALL = 0.995
@@ -35,8 +35,8 @@ PAD, GAP = -2, -3
 SEED = 11
 KEPT_WORDS = 500_000
 
-OUTPUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32()), ("item_words", pa.int32()), ("start_word", pa.int64())])
-SCHEMA = "doc_id long, item_id long, edits int, item_words int, start_word long"
+OUTPUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32()), ("item_words", pa.int32()), ("start_word", pa.int64()), ("text_hash", pa.int64())])
+SCHEMA = "doc_id long, item_id long, edits int, item_words int, start_word long, text_hash long"
 
 
 def bare(token: str) -> str:
@@ -249,14 +249,9 @@ class Sieve:
         return [(doc, self.items[item][0], d, len(self.items[item][1]), s) for (doc, item), (d, s) in sorted(best.items())]
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, edits, item_words, start_word: a row for each text and benchmark item that a part of the text equals up to max_edit of the item's words.
-
-    Words are blank-separated, in lower case, by their letters and digits. Items under MIN_WORDS words, null and empty
-    ones match nothing, nor do null and empty texts; items with equal texts match each; repeated rows of docs give
-    repeated rows. Whole texts are read, in one narrow stage for each block of ITEM_BLOCK items: a block is
-    what travels to the executors, so its size is bounded however many items there are.
-    """
+def hits(docs: DataFrame, benchmark: DataFrame, max_edit: float, recall: float, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """The rows of find_benchmark() with the hash of the row's text."""
+    texts = keyed_text(docs, id_col, text_col).select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text"))
     blocks = max(1, math.ceil(row_count(items) / ITEM_BLOCK))
     out = None
@@ -264,24 +259,34 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = [tuple(r) for r in part.collect()]
         walks = Sieve(rows, max_edit, recall).walks
-        found = keyed_text(docs, id_col, text_col).mapInArrow(searcher(rows, max_edit, walks), SCHEMA)
+        found = texts.mapInArrow(searcher(rows, max_edit, walks), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, edits, item_words, start_word: a row for each text and benchmark item that a part of the text equals up to max_edit of the item's words.
+
+    Words are blank-separated, in lower case, by their letters and digits. Items under MIN_WORDS words, null and empty
+    ones match nothing, nor do null and empty texts; items with equal texts match each; repeated rows of docs give
+    repeated rows. Whole texts are read, in one narrow stage for each block of ITEM_BLOCK items: a block is
+    what travels to the executors, so its size is bounded however many items there are.
+    """
+    return hits(docs, benchmark, max_edit, recall, id_col, text_col, item_col, item_text_col).drop("text_hash")
+
+
 def searcher(items: list[tuple[int, str]], max_edit: float, walks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = Sieve(items, max_edit, walks=walks)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b, texts in groups_of(batch, 1, 2_000_000):
-                if hits := sieve.find(texts):
-                    yield batch_of(OUTPUT, zip(*((ids[a + d], *rest) for d, *rest in hits), strict=True))
+                if found := sieve.find(texts):
+                    yield batch_of(OUTPUT, zip(*((ids[a + d], *rest, hashes[a + d]) for d, *rest in found), strict=True))
 
     return run
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows in whose text an item was found; rows with a null id are judged as one row."""
-    hit = find_benchmark(docs, benchmark, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs without the rows in whose text an item was found; rows are judged one by one, whatever others have their id."""
+    return without(docs, hits(docs, benchmark, max_edit, recall, id_col, text_col, item_col, item_text_col), id_col, text_col)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import Workspace, batch_of, groups_of, keyed_text, row_count
+from shelfwatch.llm.common import Workspace, batch_of, groups_of, keyed_text, row_count, text_hash, without
 
 COORDINATES = 64
 NODE = 64
@@ -33,7 +33,7 @@ FIRST_DEPTH, MOST_DEPTH = 3, 7
 SECOND_BRANCH = 4  # one node in so many picks a second coordinate
 RECALL = 0.9999
 KEPT_WORDS = 500_000
-FEATURES = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
 ROWS = pa.schema([("path", pa.int64()), ("cid", pa.int64())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -91,20 +91,20 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, cid (64-bit hash of the set, null if empty), n (set size), sig."""
+    """doc_id, text_hash, cid (64-bit hash of the set, null if empty), n (set size), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b, texts in groups_of(batch, 1, 2_000_000):
                 sets = [shingles(t, k, words) for t in texts]
                 some = [s for s in sets if len(s)]
                 sig = iter(signatures(some) if some else ())
                 rows = [(class_id(s), len(s), next(sig).tobytes()) if len(s) else (None, 0, None) for s in sets]
-                yield batch_of(FEATURES, (ids[a:b], *zip(*rows, strict=True)))
+                yield batch_of(FEATURES, (ids[a:b], hashes[a:b], *zip(*rows, strict=True)))
 
-    return docs.mapInArrow(run, "doc_id long, cid long, n long, sig binary")
+    return docs.select("doc_id", "text", text_hash(docs["text"]).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, cid long, n long, sig binary")
 
 
 def step(rows: np.ndarray, paths: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,15 +372,8 @@ def other_links(ws: Workspace, docs: DataFrame, leaf: DataFrame, labels: DataFra
     return together(whole).mapInArrow(compare, "a long, b long")
 
 
-def cluster(docs: DataFrame, shingle_words: int = 5, percent: int = 80, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
-
-    Links are sets with 100 * intersection >= percent * union; component_id is the smallest doc_id among the linked
-    texts, the row's own included; kept is doc_id = component_id. Null and empty texts, and those of blanks, have no
-    shingles and no link. Rows with equal sets are linked however many they are; repeated ids are kept together.
-    Null ids count as largest: a component of null ids only has a null component_id and keeps its rows, else they go.
-    Two different sets are taken as equal if a 64-bit hash is the same. An empty table gives none.
-    """
+def decisions(docs: DataFrame, shingle_words: int, percent: int, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """The rows of cluster() with the hash of their text: rows that agree in both that and doc_id are decided alike."""
     ws = Workspace(docs.sparkSession, "neardup")
     docs = keyed_text(docs, id_col, text_col)
     similarity = percent / 100
@@ -399,12 +392,23 @@ def cluster(docs: DataFrame, shingle_words: int = 5, percent: int = 80, recall:
     least = labelled.groupBy("label").agg(F.min("rep").alias("least"))
     linked = ws.save(labelled.join(least, "label").select("cid", "least"), "linked")
     of_class = classes.select("cid", "rep").join(linked, "cid", "left").select("cid", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component_id"))
-    out = feats.select("doc_id", "cid", F.col("n").alias("n_shingles")).join(of_class, "cid", "left")
+    out = feats.select("doc_id", "text_hash", "cid", F.col("n").alias("n_shingles")).join(of_class, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def cluster(docs: DataFrame, shingle_words: int = 5, percent: int = 80, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row.
+
+    Links are sets with 100 * intersection >= percent * union; component_id is the smallest doc_id among the linked
+    texts, the row's own included; kept is doc_id = component_id. Null and empty texts, and those of blanks, have no
+    shingles and no link. Rows with equal sets are linked however many they are; repeated ids are kept together.
+    Null ids count as largest: a component of null ids only has a null component_id and keeps its rows, else they go.
+    Two different sets are taken as equal if a 64-bit hash is the same. An empty table gives none.
+    """
+    return decisions(docs, shingle_words, percent, recall, id_col, text_col).drop("text_hash")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that are not kept: of each component those of the smallest doc_id stay."""
-    gone = cluster(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+def keep_first(docs: DataFrame, shingle_words: int = 5, percent: int = 80, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that are not kept: of each component those of the smallest doc_id stay. Rows are decided one by one, whatever others have their id."""
+    return without(docs, decisions(docs, shingle_words, percent, recall, id_col, text_col).where("not kept"), id_col, text_col)

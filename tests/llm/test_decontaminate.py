@@ -72,6 +72,13 @@ def test_against_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in pairs} - {r.doc_id for r in got}
 
 
+def test_remove_decides_by_row(spark):
+    item = " ".join(words_of(random.Random(6), 20))
+    rows = [(i, t) for i in (None, 7) for t in (f"before {item} after", "clean text", "", None)]
+    kept = d.remove_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+
+
 def test_blocks_and_empty(spark, monkeypatch):
     monkeypatch.setattr(d, "ITEM_BLOCK", 2)
     rnd = random.Random(5)

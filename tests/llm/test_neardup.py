@@ -82,6 +82,13 @@ def test_null_and_repeated_ids(spark):
     assert neardup.keep_first(df.where("doc_id is not null").withColumn("n", df.doc_id), shingle_words=4).columns == ["doc_id", "text", "n"]
 
 
+def test_keep_first_decides_by_row(spark):
+    text = "w1 w2 w3 w4 w5 w6 w7"
+    rows = [(5, text), (None, text), (7, text + "!"), (7, text), (7, ""), (7, None)] + [(None, f"clean row {i} of its own words, {i} {i} {i}") for i in range(20)] + [(None, None), (None, "")]
+    kept = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=4).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([r for r in rows if r not in [(None, text), (7, text)]], key=str)
+
+
 def test_recall_is_planned():
     rng = np.random.default_rng(0)
     trees, found = neardup.trees_for(0.99, 0.8), 0
