@@ -4,7 +4,8 @@ Equal sets are one class first, whatever their number. Each class has 64 minwise
 by tokens: a node picks a coordinate, sometimes a second one (1.25 on average, 1 over the similarity sought), and
 sends each class to the child of its token there; classes of similar sets share paths. Levels are DataFrame rows
 (node, class); nodes of one class end, nodes over NODE classes branch on down to MOST_DEPTH, the others are leaves.
-Independent trees are repeated to the target recall, which the branching process gives in closed form.
+Trees are repeated to the target recall, which the branching process gives in closed form for each number of
+coordinates that two signatures may agree in: all trees share these, so the recall is the average over that number.
 
 Leaves are compared in two steps, neither of which lists all pairs of a group. First every class with its node's
 pivot: a group of thousands of near copies hangs together after that. Then, exhaustively, only classes of one node
@@ -16,6 +17,7 @@ propagation with pointer jumping over the links in the shared folder.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -129,7 +131,17 @@ def survival(depth: int, similarity: float) -> float:
 
 
 def trees_for(recall: float, similarity: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(MOST_DEPTH, similarity)))
+    """How many trees bring a pair of this similarity together with this chance, given that all of them draw from the same coordinates."""
+    agree = np.arange(COORDINATES + 1)
+    chance = np.array([math.comb(COORDINATES, a) * similarity**a * (1 - similarity) ** (COORDINATES - a) for a in agree.tolist()])
+    apart = 1 - np.array([survival(MOST_DEPTH, a / COORDINATES) for a in agree.tolist()])
+    if chance[apart >= 1].sum() >= 1 - recall:
+        raise ValueError(f"{COORDINATES} coordinates are too few for a recall of {recall} at similarity {similarity}")
+    missed = lambda trees: float((chance * apart**trees).sum())
+    most = 1
+    while missed(most) > 1 - recall:
+        most *= 2
+    return bisect.bisect_left(range(most + 1), True, 1, key=lambda trees: missed(trees) <= 1 - recall)
 
 
 def sig_of(column) -> np.ndarray:

@@ -106,6 +106,25 @@ def test_recall_is_planned():
     assert found >= 190
 
 
+def test_trees_share_coordinates():
+    rng, trees, missed, pairs = np.random.default_rng(2), neardup.trees_for(neardup.RECALL, 0.8), 0, 6_000
+    for _ in range(pairs):
+        sig = rng.integers(0, 2**32, (2, neardup.COORDINATES), dtype=np.uint32)
+        same_at = rng.random(neardup.COORDINATES) < 0.8
+        sig[1, same_at] = sig[0, same_at]
+        ends = []
+        for row in (0, 1):
+            rows, p = np.full(trees, row), neardup.mixed(np.arange(1, trees + 1, dtype=np.uint64))
+            for _ in range(neardup.MOST_DEPTH):
+                rows, p = neardup.step(rows, p, sig)
+            ends.append(p)
+        missed += not np.intersect1d(*ends).size
+    assert missed <= 3  # 0.6 expected
+    assert neardup.trees_for(neardup.RECALL, 1.0) == 1
+    with pytest.raises(ValueError):
+        neardup.trees_for(neardup.RECALL, 0.1)
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
