@@ -1,18 +1,20 @@
 """Near-duplicates of word-shingle sets by a chosen-path similarity join.
 
-Equal sets are one class first, whatever their number. Each class has 64 minwise tokens. A tree branches its classes
-by tokens: a node picks a coordinate, sometimes a second one (1.25 on average, 1 over the similarity sought), and
-sends each class to the child of its token there; classes of similar sets share paths. Levels are DataFrame rows
-(node, class); nodes of one class end, nodes over NODE classes branch on down to MOST_DEPTH, the others are leaves.
-Trees are repeated to the target recall, which the branching process gives in closed form for each number of
-coordinates that two signatures may agree in: all trees share these, so the recall is the average over that number.
-
-Leaves are compared in two steps, neither of which lists all pairs of a group. First every class with its node's
-pivot: a group of thousands of near copies hangs together after that. Then, exhaustively, only classes of one node
-that aren't connected yet; in a node still large, those not connected to the pivot against all, in blocks of bounded
-size. Candidates whose signatures agree too little go, the rest is confirmed on the full sets, and a block gives no
-more links than connect it. Components are found by min-label
-propagation with pointer jumping over the links in the shared folder.
+Equal sets are one class first, whatever their number. Each class has 64 minwise tokens. A class of whose token pairs
+no other class has one ends there: it has no partner. A tree branches the others by tokens: a node picks a
+coordinate, sometimes a second one (1.25 on average, 1 over the similarity sought), and sends each class to the child
+of its token there; classes of similar sets share paths. Levels are DataFrame rows (node, class); nodes of one class
+end, nodes of up to NODE classes are leaves. Trees are repeated to the target recall, which the branching process
+gives in closed form for each number of coordinates that two signatures may agree in: all trees share these, so the
+recall is the average over that number.
+
+Nothing lists the pairs of a group. In every node each class is first compared with the node's pivot, a class that
+the node draws: a group of thousands of near copies hangs together after that, for it has other pivots in other
+nodes. A node over NODE classes whose classes all hang together ends, else it branches on, down to LAST_DEPTH. Then
+the classes of a leaf that don't hang together yet are compared exhaustively, by signature and what is left on the
+full sets; what is still large there is cut into blocks, in which the classes outside the pivot's component meet all.
+A block gives no more links than connect it. Components are found by min-label propagation with pointer jumping over
+the links in the shared folder.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import bisect
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +33,18 @@ from pyspark.sql import functions as F
 from shelfwatch.llm.common import Workspace, batch_of, groups_of, keyed_text, row_count, text_hash, without
 
 COORDINATES = 64
-NODE = 64
-FIRST_DEPTH, MOST_DEPTH = 3, 7
+NODE = 4096
+FIRST_DEPTH, MOST_DEPTH, LAST_DEPTH = 3, 7, 11
 SECOND_BRANCH = 4  # one node in so many picks a second coordinate
-RECALL = 0.9999
+RECALL = 0.9999  # of a pair that is similar enough, in nodes down to MOST_DEPTH
+NO_PARTNER = 1e-5  # the chance that a pair of just the similarity sought shares none of the probes
+SALT = 512  # a pivot's set is read once for about so many comparisons
+BLOCK_BYTES = 64 << 20
 KEPT_WORDS = 500_000
 FEATURES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
 ROWS = pa.schema([("path", pa.int64()), ("cid", pa.int64())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+CHOSEN = pa.schema([("block", pa.int64()), ("cid", pa.int64()), ("label", pa.int64())])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -180,26 +187,6 @@ def next_rows(rows: DataFrame, levels: int) -> DataFrame:
     return rows.select("path", "cid", "sig").mapInArrow(run, "path long, cid long")
 
 
-def leaves(ws: Workspace, classes: DataFrame, trees: int) -> DataFrame:
-    """(path, cid, pivot, size) of the leaves that hold at least two classes; a node's pivot is its least class."""
-    depth, out = FIRST_DEPTH, None
-    rows = ws.save(first_rows(classes, trees), "rows")
-    while True:
-        nodes = ws.save(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("pivot")).where("size > 1"), "nodes")
-        held = ws.save(rows.join(nodes, "path"), f"held{depth}")
-        leaf = held if depth >= MOST_DEPTH else held.where(F.col("size") <= NODE)
-        leaf = leaf.select("path", "cid", "pivot", "size")
-        out = leaf if out is None else out.unionByName(leaf)
-        large = held.where(F.col("size") > NODE)
-        if depth >= MOST_DEPTH or large.isEmpty():
-            break
-        levels = min(2, MOST_DEPTH - depth)
-        rows = ws.save(next_rows(large.join(classes.select("cid", "sig"), "cid"), levels), "rows")
-        depth += levels
-    ws.drop("rows", "nodes")
-    return ws.save(out, "leaves")
-
-
 def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(axis=-1)
 
@@ -210,21 +197,30 @@ def fair(na, nb, sa: np.ndarray, sb: np.ndarray, similarity: float) -> np.ndarra
     return (np.minimum(na, nb) >= similarity * np.maximum(na, nb)) & (agreeing(sa, sb) >= least)
 
 
-def plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that fair() lets through."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+def with_partners(classes: DataFrame, similarity: float) -> DataFrame:
+    """classes without those that share none of their probes, pairs of minwise tokens, with another one."""
+    probes = math.ceil(math.log(NO_PARTNER) / math.log(1 - similarity**2)) if similarity < 1 else 1
+    if 2 * probes > COORDINATES:
+        return classes
+    tokens = [F.xxhash64(F.lit(i), F.substring("sig", 8 * i + 1, 8)) for i in range(probes)]
+    held = classes.select("cid", F.explode(F.array(*tokens)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("cid").alias("cid"))
+    alone = held.where("holders = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") == probes)
+    return classes.join(alone, "cid", "left_anti")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-                ok = fair(na, nb, sig_of(batch.column(4)), sig_of(batch.column(5)), similarity)
-                yield batch_of(PAIRS, (a[ok], b[ok]))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """(path, size, pivot) of the nodes that hold at least two classes; the pivot is the class that is least when the path flips its bits."""
+    least = F.min(F.col("cid").bitwiseXOR(F.col("path")))
+    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), least.alias("pivot")).where("size > 1").withColumn("pivot", F.col("pivot").bitwiseXOR(F.col("path")))
+
 
+def star(rows: DataFrame) -> DataFrame:
+    """(a, b, salt): each class b with its node's pivot a, once; salt deals a large node's comparisons to several groups."""
+    pairs = rows.where("cid <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cid").alias("b")).agg(F.max("size").alias("size"))
+    return pairs.select("a", "b", F.pmod(F.xxhash64("b"), 1 + F.floor(F.col("size") / SALT)).alias("salt"))
 
-def full_sets(ws: Workspace, docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int) -> DataFrame:
+
+def full_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int) -> DataFrame:
     """(cid, shingles) of the classes in cids, made again from one document each."""
     wanted = cids.distinct().join(classes.select("cid", "rep"), "cid").select(F.col("cid").alias("want"), "rep")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("want", "text")
@@ -239,25 +235,37 @@ def full_sets(ws: Workspace, docs: DataFrame, classes: DataFrame, cids: DataFram
                 if rows:
                     yield batch_of(made, zip(*rows, strict=True))
 
-    return ws.save(texts.mapInArrow(sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
+    return texts.mapInArrow(sets, "cid long, shingles binary").dropDuplicates(["cid"])
+
 
+def set_at(column: pa.Array, i: int) -> np.ndarray:
+    return np.frombuffer(column[i].as_buffer(), np.uint64)
 
-def confirmed(ws: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs whose full sets are similar enough."""
-    made_sets = full_sets(ws, docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cid")), k)
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b, salt) whose full sets are similar enough. Sorted by (a, salt), the set of a comes first and alone is held while those of its partners go by."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pivot = None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch_of(PAIRS, ([x for x, y in zip(a, ok, strict=True) if y], [x for x, y in zip(b, ok, strict=True) if y]))
-
-    side = lambda x: made_sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+            a, salt, b = (batch.column(i).to_pylist() for i in range(3))
+            found = []
+            for i, k in enumerate(zip(a, salt, strict=True)):
+                own = set_at(batch.column(3), i)
+                if b[i] is None:
+                    key, pivot = k, own.copy()
+                elif k == key and 100 * min(len(own), len(pivot)) >= percent * max(len(own), len(pivot)):
+                    at = np.searchsorted(pivot, own)
+                    same = int((pivot[np.minimum(at, len(pivot) - 1)] == own).sum())
+                    if 100 * same >= percent * (len(own) + len(pivot) - same):
+                        found.append((a[i], b[i]))
+            if found:
+                yield batch_of(PAIRS, zip(*found, strict=True))
+
+    heads = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("cid", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
+    others = pairs.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "salt", "b", "shingles")
+    rows = heads.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(check, "a long, b long")
 
 
 def components(ws: Workspace, links: DataFrame) -> DataFrame:
@@ -276,130 +284,171 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
             return labels
 
 
-def blocks_of(leaf: DataFrame, labels: DataFrame) -> DataFrame:
-    """(path, block, cid, label, minor, home) of the leaves that hold several components.
+def labelled_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows and the label of each class, itself where it has none."""
+    if labels is None:
+        return rows.withColumn("label", F.col("cid"))
+    return rows.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
 
-    A leaf of up to NODE classes is one block. In a larger one the classes outside the pivot's component, the minor
-    ones, are to meet all others, and those of that component each other no more: both kinds are cut into parts of
-    about NODE classes, and a block is two parts that have to meet.
+def apart(rows: DataFrame) -> DataFrame:
+    """Those labelled rows whose node holds several labels."""
+    nodes = rows.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("path")
+    return rows.join(nodes, "path", "left_semi")
+
+
+def blocks_of(rows: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """(path, block, cid, label, kind, home) of the leaves that hold several components; kind is 0, or 1 for a host and 2 for a guest.
+
+    A leaf of up to NODE classes and BLOCK_BYTES of sets is one block. In a larger one the classes outside the pivot's
+    component, its guests, are to meet all others, and its hosts, those of that component, each other no more: both
+    are cut into parts of about that size, and a block is two parts that have to meet.
     """
-    marked = leaf.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    marked = apart(labelled_rows(rows, labels)).join(classes.select("cid", "n"), "cid")
     root = labels.select(F.col("cid").alias("pivot"), F.col("label").alias("pivot_label"))
-    marked = marked.join(root, "pivot", "left").withColumn("minor", F.col("label") != F.coalesce("pivot_label", "pivot"))
-    nodes = marked.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if("minor").alias("minors")).where("low <> high").select("path", "minors")
-    rows = marked.join(nodes, "path")
-    parts = lambda n: F.ceil(n / F.lit(NODE)).cast("long")
-    rows = rows.withColumns({"guests": parts(F.col("minors")), "hosts": F.greatest(F.lit(1).cast("long"), parts(F.col("size") - F.col("minors")))})
-    rows = rows.withColumn("home", F.when(F.col("size") <= NODE, F.lit(0)).otherwise(F.pmod(F.xxhash64("cid"), F.when(F.col("minor"), F.col("guests")).otherwise(F.col("hosts")))))
+    marked = marked.join(root, "pivot", "left").withColumn("guest", F.col("label") != F.coalesce("pivot_label", "pivot"))
+    per = lambda what: F.ceil(F.greatest(F.count_if(what) / NODE, F.coalesce(F.sum(F.when(what, F.col("n") * 8)), F.lit(0)) / BLOCK_BYTES)).cast("long")
+    nodes = marked.groupBy("path").agg(per(F.lit(True)).alias("parts"), per(F.col("guest")).alias("guests"), per(~F.col("guest")).alias("hosts"))
+    rows = marked.join(nodes, "path").withColumn("kind", F.when(F.col("parts") <= 1, 0).when(F.col("guest"), 2).otherwise(1))
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("cid"), F.greatest(F.lit(1), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("hosts")))))
     block = lambda kind, x, y: F.lit(kind << 40) + F.shiftleft(x, 20) + y
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    upto = lambda n: F.filter(F.sequence(F.lit(0).cast("long"), F.col(n)), lambda x: x < F.col(n))
     home = F.col("home")
-    with_hosts = F.transform(upto(F.col("hosts")), lambda c: block(1, c, home))
-    with_guests = F.transform(upto(F.col("guests")), lambda g: block(2, F.least(g, home), F.greatest(g, home)))
-    as_host = F.transform(upto(F.col("guests")), lambda g: block(1, home, g))
-    where = F.when(F.col("size") <= NODE, F.array(F.lit(0).cast("long"))).when(F.col("minor"), F.concat(with_hosts, with_guests)).otherwise(as_host)
-    return rows.select("path", F.explode(where).alias("block"), "cid", "label", "minor", "home")
+    with_hosts, as_host = F.transform(upto("hosts"), lambda c: block(1, c, home)), F.transform(upto("guests"), lambda g: block(1, home, g))
+    with_guests = F.transform(upto("guests"), lambda g: block(2, F.least(g, home), F.greatest(g, home)))
+    where = F.when(F.col("kind") == 0, F.array(F.lit(0).cast("long"))).when(F.col("kind") == 2, F.concat(with_hosts, with_guests)).otherwise(as_host)
+    return rows.select("path", F.explode(where).alias("block"), "cid", "label", "kind", "home")
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The tables of rows that agree in the first two columns, from batches sorted by these."""
+def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """The tables of rows that agree in the first columns, from batches sorted by these."""
     held: list[pa.Table] = []
     for big in batches:
         for at in range(0, big.num_rows, 2_000):
             held.append(pa.Table.from_batches([big.slice(at, 2_000)]))
             whole = pa.concat_tables(held)
-            x, y = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist()]
+            differs = np.zeros(max(0, whole.num_rows - 1), bool)
+            for c in range(columns):
+                x = whole.column(c).to_numpy()
+                differs |= x[1:] != x[:-1]
+            cuts = [0, *(np.flatnonzero(differs) + 1).tolist()]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 yield whole.slice(a, b - a)
             held = [whole.slice(cuts[-1])]
     if held and held[0].num_rows:
-        yield held[0]
-
-
-def meeting(t: pa.Table, similarity: float) -> np.ndarray | None:
-    """Which rows of a block are to be compared: not of one component, met in this block, and fair. None if there are none."""
-    block = int(t.column(1)[0].as_py())
-    cid, label, minor, home, n = (t.column(c).to_numpy() for c in range(2, 7))
-    ok = label[:, None] != label[None, :]
-    if block >> 40 == 1:
-        ok &= minor[:, None] != minor[None, :]
-    elif block >> 40 == 2 and (block >> 20) % (1 << 20) != block % (1 << 20):
-        ok &= home[:, None] != home[None, :]
-    ok &= cid[:, None] < cid[None, :]
-    if not ok.any():
-        return None
-    sig = sig_of(t.column(7).combine_chunks())
-    a, b = np.nonzero(ok)
-    ok[a, b] = fair(n[a], n[b], sig[a], sig[b], similarity)
-    return ok if ok.any() else None
-
-
-def other_links(ws: Workspace, docs: DataFrame, leaf: DataFrame, labels: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+        yield pa.concat_tables(held)
+
+
+def to_compare(label: np.ndarray) -> np.ndarray:
+    """The rows that have to look for partners: all but those of the most frequent label."""
+    names, at, count = np.unique(label, return_inverse=True, return_counts=True)
+    return np.flatnonzero(at != count.argmax())
+
+
+def meeting(t: pa.Table, similarity: float) -> np.ndarray:
+    """The rows of a block (label, kind, home, n, sig in its third column and on) that have another one with which they may be similar but aren't connected."""
+    label, kind, home, n = (t.column(c).to_numpy() for c in range(3, 7))
+    sig, met, within = sig_of(t.column(7).combine_chunks()), np.zeros(len(label), bool), int(t.column(1)[0].as_py())
+    two_parts = within >> 40 == 2 and (within >> 20) % (1 << 20) != within % (1 << 20)
+    seekers = to_compare(label)
+    step_by = max(1, (16 << 20) // (len(label) * COORDINATES))
+    for at in range(0, len(seekers), step_by):
+        i = seekers[at : at + step_by]
+        ok = label[i, None] != label
+        if within >> 40 == 1:
+            ok &= kind[i, None] != kind
+        elif two_parts:
+            ok &= home[i, None] != home
+        ok &= fair(n[i, None], n, sig[i, None, :], sig, similarity)
+        met[i] |= ok.any(axis=1)
+        met |= ok.any(axis=0)
+    return np.flatnonzero(met)
+
+
+def other_links(ws: Workspace, leaf: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes that share a leaf but no component, compared exhaustively on their full sets.
 
-    First the classes that have anyone to be compared with are told, then their sets come to the blocks. Of a block's
-    links only those that connect what it hasn't connected yet are given, so their number is below its rows'.
+    First the classes that have anyone to be compared with are told; blocks that tell the same of several trees' leaves
+    are one from there on. Then their sets come to the blocks. Of a block's links only those that connect what it hasn't connected
+    yet are given, so their number is below its rows'.
     """
-    spark, similarity = docs.sparkSession, percent / 100
+    spark, similarity = leaf.sparkSession, percent / 100
     tasks = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    together = lambda df: df.repartition(tasks, "path", "block").sortWithinPartitions("path", "block")
-    blocks = ws.save(blocks_of(leaf, labels), "blocks")
-    rows = blocks.join(classes.select("cid", "n", "sig"), "cid").select("path", "block", "cid", "label", "minor", "home", "n", "sig")
-    told = pa.schema([("path", pa.int64()), ("block", pa.int64()), ("cid", pa.int64())])
+    rows = ws.save(blocks_of(leaf, labels, classes), "blocks").join(classes.select("cid", "n", "sig"), "cid")
+    rows = rows.select("path", "block", "cid", "label", "kind", "home", "n", "sig").repartition(tasks, "path", "block").sortWithinPartitions("path", "block", "cid")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches):
-            if t.num_rows > 1 and (ok := meeting(t, similarity)) is not None:
-                at = np.flatnonzero(ok.any(axis=0) | ok.any(axis=1))
-                yield batch_of(told, (t.column(c).to_numpy()[at] for c in range(3)))
+        for t in grouped(batches, 2):
+            if t.num_rows > 1 and len(at := meeting(t, similarity)):
+                cid, label = t.column(2).to_numpy()[at], t.column(3).to_numpy()[at]
+                yield batch_of(CHOSEN, (np.full(len(at), class_id(cid)), cid, label))
 
-    chosen = ws.save(together(rows).mapInArrow(members, "path long, block long, cid long"), "chosen")
-    sets = full_sets(ws, docs, classes, chosen.select("cid"), k)
-    whole = rows.join(chosen, ["path", "block", "cid"]).join(sets, "cid").select("path", "block", "cid", "label", "minor", "home", "n", "sig", "shingles")
+    chosen = ws.save(rows.mapInArrow(members, "block long, cid long, label long").dropDuplicates(["block", "cid"]), "chosen")
+    whole = chosen.join(sets, "cid").select("block", "cid", "label", "shingles").repartition(tasks, "block").sortWithinPartitions("block", "cid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches):
-            if t.num_rows < 2 or (ok := meeting(t, similarity)) is None:
-                continue
-            cid, part, n = t.column(2).to_numpy(), t.column(3).to_numpy().copy(), t.column(6).to_numpy()
-            flat = np.unique(np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint64), return_inverse=True)[1]
-            first = np.concatenate([[0], np.cumsum(n)])
-            seen, out = np.zeros(int(flat.max()) + 1, bool), []
-            for i in range(len(cid)):
-                js = np.flatnonzero(ok[i] & (part != part[i]))
-                if not len(js):
-                    continue
-                mine = flat[first[i] : first[i + 1]]
+        for t in grouped(batches, 1):
+            cid, part = t.column(1).to_numpy(), t.column(2).to_numpy().copy()
+            each = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(3)]
+            n, values = np.array([len(x) for x in each]), np.unique(np.concatenate(each), return_inverse=True)[1]
+            first, seen, found = np.concatenate([[0], np.cumsum(n)[:-1]]), np.zeros(int(values.max()) + 1, bool), []
+            for i in to_compare(part).tolist():
+                mine = values[first[i] : first[i] + n[i]]
                 seen[mine] = True
-                same = np.array([int(seen[flat[first[j] : first[j + 1]]].sum()) for j in js])
+                same = np.add.reduceat(seen[values], first, dtype=np.int64)
                 seen[mine] = False
-                for j in js[100 * same >= percent * (n[i] + n[js] - same)]:
+                for j in np.flatnonzero((100 * same >= percent * (n[i] + n - same)) & (part != part[i])).tolist():
                     if part[j] != part[i]:
-                        out.append((int(cid[i]), int(cid[j])))
+                        found.append((int(cid[i]), int(cid[j])))
                         part[part == part[j]] = part[i]
-            if out:
-                yield batch_of(PAIRS, zip(*out, strict=True))
+            if found:
+                yield batch_of(PAIRS, zip(*found, strict=True))
 
-    return together(whole).mapInArrow(compare, "a long, b long")
+    return whole.mapInArrow(compare, "a long, b long")
+
+
+def links_of(ws: Workspace, docs: DataFrame, classes: DataFrame, k: int, percent: int, recall: float) -> DataFrame:
+    """(cid, label) of the classes that are linked: pivots first, from the largest nodes on, then what they leave apart."""
+    similarity = percent / 100
+    some = ws.save(with_partners(classes, similarity), "some")
+    rows, depth, leaf = ws.save(first_rows(some, trees_for(recall, similarity)), "rows"), FIRST_DEPTH, None
+    links: list[DataFrame] = []
+
+    def connect(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        links.append(ws.save(confirmed(pairs, sets, percent), f"links{len(links)}"))
+        return components(ws, reduce(DataFrame.unionByName, links))
+
+    while True:
+        nodes = ws.save(nodes_of(rows), "nodes")
+        held = ws.save(rows.join(nodes, "path").select("path", "cid", "pivot", "size"), f"held{depth}")
+        small, large = held.where(F.col("size") <= NODE), held.where(F.col("size") > NODE)
+        leaf = small if leaf is None else leaf.unionByName(small)
+        if large.isEmpty():
+            break
+        labels = connect(star(large), ws.save(full_sets(docs, some, large.select("cid"), k), "sets"))
+        large = ws.save(apart(labelled_rows(large, labels)).drop("label"), f"large{depth}")
+        if depth >= LAST_DEPTH:
+            leaf = leaf.unionByName(large)
+            break
+        levels = min(2, LAST_DEPTH - depth)
+        rows, depth = ws.save(next_rows(large.join(some.select("cid", "sig"), "cid"), levels), "rows"), depth + levels
+    ws.drop("rows", "nodes")
+    sets = ws.save(full_sets(docs, some, leaf.select("cid"), k), "sets")
+    labels = connect(star(leaf), sets)
+    links.append(ws.save(other_links(ws, leaf, labels, some, sets, percent), "other_links"))
+    if not links[-1].isEmpty():
+        labels = components(ws, reduce(DataFrame.unionByName, links))
+    ws.drop("blocks", "chosen", "sets", "some", *(f"{x}{d}" for x in ("held", "large") for d in range(LAST_DEPTH + 1)))
+    return labels
 
 
 def decisions(docs: DataFrame, shingle_words: int, percent: int, recall: float, id_col: str, text_col: str) -> DataFrame:
     """The rows of cluster() with the hash of their text: rows that agree in both that and doc_id are decided alike."""
     ws = Workspace(docs.sparkSession, "neardup")
     docs = keyed_text(docs, id_col, text_col)
-    similarity = percent / 100
     feats = ws.save(features(docs, shingle_words), "features")
     classes = ws.save(feats.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    leaf = leaves(ws, classes, trees_for(recall, similarity))
-    star = leaf.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-    star = ws.save(plausible(star, classes, similarity), "star")
-    links = ws.save(confirmed(ws, docs, classes, star, shingle_words, percent), "star_links")
-    labels = components(ws, links)
-    more = ws.save(other_links(ws, docs, leaf, labels, classes, shingle_words, percent), "other_links")
-    if not more.isEmpty():
-        labels = components(ws, links.unionByName(more))
-    ws.drop("leaves", "blocks", "chosen", "sets", "star", *(f"held{d}" for d in range(MOST_DEPTH + 1)))
+    labels = links_of(ws, docs, classes, shingle_words, percent, recall)
     labelled = classes.select("cid", "rep").join(labels, "cid")
     least = labelled.groupBy("label").agg(F.min("rep").alias("least"))
     linked = ws.save(labelled.join(least, "label").select("cid", "least"), "linked")

@@ -72,6 +72,23 @@ def test_large_group(spark):
     same(neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect(), brute(rows, 4, 80))
 
 
+@pytest.mark.parametrize("node, last", [(4096, 11), (128, 11), (128, 5)])
+def test_group_spread_around_the_threshold(spark, monkeypatch, node, last):
+    """Copies that are not all similar to any one of them, as a leaf, branched on, and cut into blocks."""
+    monkeypatch.setattr(neardup, "NODE", node)
+    monkeypatch.setattr(neardup, "LAST_DEPTH", last)
+    rows = near_copies(random.Random(3), 1, 1_200, 60, 6)
+    want = brute(rows, 4, 80)
+    assert 5 < len({c for _, c in want.values()}) < 1_000
+    same(neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 4, 80).collect(), want)
+
+
+def test_blocks_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 20_000)
+    rows = near_copies(random.Random(4), 3, 150, 60, 6)
+    same(neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 4, 80).collect(), brute(rows, 4, 80))
+
+
 def test_null_and_repeated_ids(spark):
     text = "w1 w2 w3 w4 w5 w6 w7"
     df = spark.createDataFrame([(None, text), (5, text), (5, text), (7, text + "!"), (7, text), (None, "only null ids here, all of them"), (None, "")], "doc_id long, text string")
