@@ -11,21 +11,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 16 << 20
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a session with a local master (tests) gets a folder of its own, any other an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shelfwatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches on their way to Python workers end at BATCH_BYTES, unless the session has a smaller bound: a row may be a very long text."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.sql(f"SET {key}").head()["value"].rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Workspace:
-    """Tables of one run, written below the shared folder, so that a lost executor costs a re-read and no recomputation."""
+    """Tables of one run, written below the shared folder, so that a lost executor costs a re-read and no recomputation.
+
+    The folder goes with the session, for results are read from it till then.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_root(spark)}/shelfwatch/{name}-{uuid.uuid4().hex}"
         self._last: dict[str, str] = {}
+        bound_batches(spark)
+        self._on(self.root, lambda fs, p: fs.deleteOnExit(p) if fs.mkdirs(p) else None)
+
+    def _on(self, at: str, do):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(at)
+        return do(p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -47,13 +69,12 @@ class Workspace:
                 self.drop_path(at)
 
     def drop_path(self, at: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(at)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self._on(at, lambda fs, p: fs.delete(p, True))
 
 
 def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, by fixed names: further columns, whatever they are called, can't clash."""
+    bound_batches(df.sparkSession)
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
 
 

@@ -265,7 +265,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     heads = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("cid", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
     others = pairs.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "salt", "b", "shingles")
     rows = heads.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(check, "a long, b long")
+    return rows.mapInArrow(check, "a long, b long").distinct()
 
 
 def components(ws: Workspace, links: DataFrame) -> DataFrame:
@@ -404,7 +404,7 @@ def other_links(ws: Workspace, leaf: DataFrame, labels: DataFrame, classes: Data
             if found:
                 yield batch_of(PAIRS, zip(*found, strict=True))
 
-    return whole.mapInArrow(compare, "a long, b long")
+    return whole.mapInArrow(compare, "a long, b long").distinct()
 
 
 def links_of(ws: Workspace, docs: DataFrame, classes: DataFrame, k: int, percent: int, recall: float) -> DataFrame:

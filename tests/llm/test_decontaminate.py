@@ -80,7 +80,7 @@ def test_remove_decides_by_row(spark):
 
 
 def test_blocks_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(d, "ITEM_BLOCK", 2)
+    monkeypatch.setattr(d, "ITEM_BYTES", 200)
     rnd = random.Random(5)
     items = [(i, " ".join(words_of(rnd, 12))) for i in range(6)]
     bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(items, "doc_id long, text string")
@@ -88,6 +88,58 @@ def test_blocks_and_empty(spark, monkeypatch):
     assert d.find_benchmark(docs.limit(0), bench).count() == 0 and d.find_benchmark(docs, bench.limit(0)).count() == 0
 
 
+def all_pairs(items, docs):
+    """{(document, item): edits} by brute force."""
+    out = {}
+    for i, text in docs:
+        ws = [w for t in d.tokens_of(text) if (w := d.bare(t))]
+        for k, item in items:
+            ps = [w for t in d.tokens_of(item) if (w := d.bare(t))]
+            if ps and (e := slow(ps, ws)) <= int(d.MAX_EDIT * len(ps)):
+                out[i, k] = e
+    return out
+
+
+def test_short_items_without_loss():
+    rnd = random.Random(7)
+    items = [(i, " ".join(f"w{rnd.randrange(12)}" for _ in range(1 + i % 7))) for i in range(40)] + [(90, " ".join(words_of(rnd, 30))), (91, "--- ...")]
+    docs = [(i, " ".join(rnd.choice([f"w{rnd.randrange(14)}", f"other{rnd.randrange(9)}", "-"]) for _ in range(rnd.randrange(0, 14)))) for i in range(300)]
+    docs += [(400 + j, f"a b {' '.join(planted(rnd, t.split(), j % 2))} c d") for j, (_, t) in enumerate(items)]
+    want = all_pairs(items, docs)
+    found = d.Sieve(items).find([t for _, t in docs])
+    assert {(docs[i][0], k): e for i, k, e, _, _ in found} == want and len(want) > 200
+    assert d.Sieve([(1, "one two"), (2, None), (3, "")]).find(["one two", "", "ONE, two!", "two one"]) == [(0, 1, 0, 2, 0), (2, 1, 0, 2, 0)]
+
+
+def test_scripts_without_blanks():
+    item = "\u4eca\u5929\u7684\u5929\u6c14\u975e\u5e38\u597d\u6211\u4eec\u53bb\u516c\u56ed\u73a9\u5427"
+    texts = [f"\u524d\u6587{item}\u540e\u6587", f"x {item[:7]}\u5f88{item[8:]} y", "\u6211\u4eec\u53bb\u4e0a\u73ed", item[::-1]]
+    assert [(i, e) for i, _, e, _, _ in d.Sieve([(1, item)]).find(texts)] == [(0, 0), (1, 1)]
+
+
+def test_lengths_beyond_the_walks_are_verified_whole(monkeypatch):
+    monkeypatch.setattr(d, "MOST_WALKS", 0)
+    rnd = random.Random(8)
+    items = [(i, " ".join(words_of(rnd, 10 + i))) for i in range(12)]
+    docs = [(i, " ".join(words_of(rnd, 30) + planted(rnd, items[i % 12][1].split(), i % 4) + words_of(rnd, 20))) for i in range(60)]
+    sieve = d.Sieve(items)
+    assert set(sieve.walks.values()) == {0}
+    assert {(i, k): e for i, k, e, _, _ in sieve.find([t for _, t in docs])} == all_pairs(items, docs)
+
+
+def test_each_length_has_its_walks():
+    rnd = random.Random(9)
+    sieve = d.Sieve([(i, " ".join(words_of(rnd, n))) for i, n in enumerate([8] * 3 + [12] * 50 + [60] * 5)])
+    assert set(sieve.walks) == {8, 12, 60} and all(sieve.walks.values())
+    missed = 0
+    for n in sieve.walks:
+        for t in range(200):
+            k = sieve.by_length[n][t % len(sieve.by_length[n])]
+            words = [next(w for w, x in sieve.vocabulary.items() if x == y) for y in sieve.items[k][1].tolist()]
+            missed += not any(i == sieve.items[k][0] for _, i, *_ in sieve.find([" ".join(planted(rnd, words, sieve.edits(n)))]))
+    assert missed <= 9  # 3 expected
+
+
 def test_query(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     plain = [(r.item_id, " ".join(map(d.bare, r.text.split()))) for r in items]
