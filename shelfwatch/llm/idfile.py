@@ -4,20 +4,25 @@ A file is a sequence of blocks. Every block starts from an empty model, says of
 ids, and carries a CRC-32 of its ids and one of its bytes, so each can be read, checked and, if lost, written again by itself.
 
 Inside a block the ids are dealt to lanes, each a stretch of consecutive ids with its own range coder; all lanes
-step together and share one model, so a step is a handful of vector operations. For each lane the model predicts the
-next id by the last follower of the two ids before it (order 2) and of the one before it (order 1). How often such
-predictions came true, given how much each has been right lately and whether they agree, is learned as the block goes,
-and these mixed odds code which of them holds. If none does, the id is coded by its adaptive count in the block
-(order 0), or, where it is new, as a plain number. The decoder takes the same steps and so has the same model.
+step together and share one model, so a step is a handful of vector operations. For each lane the model knows the
+last follower of the two ids before it (order 2), that of the one before it (order 1) and how often each id has come
+(order 0). Each order says how likely the follower is to come next, as counted for its state: how sure order 2 is of
+it, how sure order 1 is and whether it agrees, how frequent it is. Logistic mixing with weights learned as the
+block goes makes one probability of these three, which codes whether the follower comes. If it does not, order 1's own
+follower is tried alike with orders 1 and 0, and at last the id is coded by its count, or as a plain number where it
+is new. All arithmetic is on integers, and the decoder takes the same steps, so it has the same model.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,13 +33,57 @@ from pyspark.sql import functions as F
 from shelfwatch.llm.common import Workspace, batch_of, groups_of, keyed_text
 
 MAGIC = b"IDB1"
-BLOCK = 1 << 18
-LANES, LANE_LEAST = 1024, 64
+BLOCK = 1 << 21
+LANES, LANE_LEAST = 8192, 64
 HALF, WORD = np.uint64(32), np.uint64(1 << 32)
 ORDER2_BITS = 18
 SURE = 7  # the most a prediction's confidence counts
-ID2, ID1, SEEN, NEW = range(4)
+ONE = 1 << 16  # a probability of 1
+LEVELS = 32  # of order 0's frequencies: half powers of two
+RATE = 14  # by which power of two the mixing weights' mean gradient is divided, less two
 PIECE = 200_000
+KEPT_WORDS, KEPT_BYTES = 800_000, 32 << 20
+#: Log odds (256 is 1) of probabilities by 16ths of 1/4096, and probabilities of log odds from -2047.
+STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int64)
+SQUASH = np.array([min(ONE - 24, max(24, round(ONE / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
+
+
+class Odds:
+    """How often something came true in each of several states, halved when it gets old."""
+
+    def __init__(self, states: int, hits: int = 1, of: int = 4):
+        self.states, self.hits, self.n = states, np.full(states, hits, np.int64), np.full(states, of, np.int64)
+
+    def stretched(self, state: np.ndarray) -> np.ndarray:
+        return STRETCH[(self.hits << 12) // self.n].take(state)
+
+    def learn(self, state: np.ndarray, hit: np.ndarray) -> None:
+        seen = np.bincount(state * 2 + hit, minlength=2 * self.states).reshape(-1, 2)
+        self.hits += 8 * seen[:, 1]
+        self.n += 8 * seen.sum(axis=1)
+        old = self.n > 1 << 19
+        if old.any():
+            self.hits[old], self.n[old] = (self.hits[old] + 1) >> 1, (self.n[old] + 3) >> 1
+
+
+class Mixer:
+    """One probability from several log odds: their weighted sum, with a set of weights for each kind of context."""
+
+    def __init__(self, inputs: int, sets: int):
+        self.weights = np.full((sets, inputs), (ONE * 6 // 10), np.int64)
+
+    def mixed(self, inputs: list[np.ndarray], use: np.ndarray) -> np.ndarray:
+        self.inputs, self.use = inputs, use
+        dot = sum(x * self.weights[:, k].take(use) for k, x in enumerate(inputs)) >> 16
+        self.p = SQUASH.take(np.clip(dot, -2047, 2047) + 2047)
+        return self.p
+
+    def learn(self, hit: np.ndarray) -> None:
+        """Down the coding cost's gradient, by its mean over the lanes; sums of integers in doubles are exact."""
+        error, n = hit * ONE - self.p, np.bincount(self.use, minlength=len(self.weights)) + 16
+        for k, x in enumerate(self.inputs):
+            slope = np.bincount(self.use, weights=error * x, minlength=len(self.weights)).astype(np.int64)
+            self.weights[:, k] += (slope // n) >> (RATE - 2)
 
 
 class Model:
@@ -44,8 +93,9 @@ class Model:
         self.size = vocabulary
         self.follow1 = np.full(vocabulary + 1, -1, np.int32)
         self.follow2 = np.full(1 << ORDER2_BITS, -1, np.int32)
-        self.odds = np.tile(np.array([4, 2, 8, 8], np.int64), (512, 1))
-        self.bounds = np.zeros((512, 5), np.uint64)
+        self.by2, self.by1, self.by0 = Odds(9), Odds(17), Odds(LEVELS)  # of the first candidate, by each order's state
+        self.own1, self.own0 = Odds(8), Odds(LEVELS)  # of order 1's own candidate
+        self.first, self.second, self.fresh = Mixer(3, 4), Mixer(2, 1), Odds(1, 3, 4)
         self.count = np.zeros(vocabulary, np.int64)
         self.steps = 0
         self.snapshot()
@@ -53,36 +103,60 @@ class Model:
     def snapshot(self) -> None:
         """The ids seen so far, with cumulative counts, as order 0 uses them until the next one."""
         self.ids = np.flatnonzero(self.count).astype(np.int32)
-        self.cum = np.concatenate([[0], np.cumsum(self.count[self.ids])]).astype(np.uint64)
+        counts = self.count[self.ids]
+        self.cum = np.concatenate([[0], np.cumsum(counts)]).astype(np.uint64)
         self.place = np.full(self.size, -1, np.int32)
         self.place[self.ids] = np.arange(len(self.ids), dtype=np.int32)
-
-    def predict(self, before2: np.ndarray, before1: np.ndarray) -> None:
-        """Predictions for the lanes, given the two ids before (vocabulary size: none), and the odds of each context."""
+        self.holder = np.repeat(np.arange(len(self.ids), dtype=np.int32), counts)  # which id each count is of
+        self.level = np.full(self.size + 1, LEVELS - 1, np.int64)  # the last one is for no id
+        total = int(counts.sum())
+        bounds = np.array([math.isqrt(total * total >> k) for k in range(LEVELS - 1)])
+        self.level[self.ids] = np.searchsorted(-bounds, -counts)
+
+    def predict(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
+        """The probability that the first candidate comes next in each lane, given the two ids before (vocabulary size: none); 0 where there is no candidate."""
         self.c1 = before1
         self.c2 = (before2 * np.int32(40_503) ^ before1 * np.int32(2_971)) & np.int32((1 << ORDER2_BITS) - 1)
         self.v1, self.v2 = self.follow1.take(self.c1), self.follow2.take(self.c2)
         self.p1, self.p2 = self.v1 >> 3, self.v2 >> 3
-        flags = (self.p1 == self.p2).astype(np.int32) * 4 + (self.v2 >= 0) * np.int32(2) + (self.v1 >= 0)
-        self.ctx = ((self.v2 & 7) << 6 | (self.v1 & 7) << 3) + flags
-        np.cumsum(self.odds, axis=1, out=self.bounds[:, 1:], dtype=np.uint64)
-        self.row = self.ctx * 5
-        self.total = self.bounds.take(self.row + 4)
-
-    def span(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.row + kind
-        lo = self.bounds.take(at)
-        return lo, self.bounds.take(at + 1) - lo
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        self.odds += 24 * np.bincount(self.ctx * 4 + kind, minlength=2048).reshape(512, 4)
-        over = np.flatnonzero(self.odds.sum(axis=1) > 1 << 16)
-        if len(over):
-            self.odds[over] = (self.odds[over] + 1) >> 1
-        fresh = ids << 3
-        for follow, at, v, p in ((self.follow1, self.c1, self.v1, self.p1), (self.follow2, self.c2, self.v2, self.p2)):
+        has2, has1 = self.v2 >= 0, self.v1 >= 0
+        self.a = np.where(has2, self.p2, self.p1)
+        same = has1 & (self.p1 == self.a)
+        self.x2 = np.where(has2, self.v2 & 7, 8)
+        self.x1 = np.where(has1, (self.v1 & 7) + 8 * ~same, 16)
+        self.x0 = self.level.take(self.a)  # -1 takes the last
+        p = self.first.mixed([self.by2.stretched(self.x2), self.by1.stretched(self.x1), self.by0.stretched(self.x0)], has2 * 2 + same)
+        return np.where(self.a >= 0, p, 0).astype(np.uint64)
+
+    def retry(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lanes whose first candidate did not come and order 1 has another, and how likely that is."""
+        some = np.flatnonzero(~hit & (self.v1 >= 0) & (self.p1 != self.a))
+        self.y1, self.y0 = self.v1[some] & 7, self.level.take(self.p1[some])
+        return some, self.second.mixed([self.own1.stretched(self.y1), self.own0.stretched(self.y0)], np.zeros(len(some), np.int64)).astype(np.uint64)
+
+    def fresh_odds(self) -> np.uint64:
+        return np.uint64(min(ONE - 1, max(1, int((self.fresh.hits[0] << 16) // self.fresh.n[0]))) if len(self.ids) else ONE)
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray, again: np.ndarray, rest_new: np.ndarray) -> None:
+        """hit: of every lane; again: of those that retry() gave; rest_new: of the rest, whether the id was new."""
+        at = np.flatnonzero(self.a >= 0)
+        if len(at) == len(hit):
+            self.first.learn(hit)
+        elif len(at):
+            m = self.first
+            m.inputs, m.use, m.p = [x[at] for x in m.inputs], m.use[at], m.p[at]
+            m.learn(hit[at])
+        for odds, x in ((self.by2, self.x2), (self.by1, self.x1), (self.by0, self.x0)):
+            odds.learn(x[at], hit[at])
+        if len(again):
+            self.second.learn(again)
+            self.own1.learn(self.y1, again)
+            self.own0.learn(self.y0, again)
+        self.fresh.learn(np.zeros(len(rest_new), np.int64), rest_new)
+        new = ids << 3
+        for follow, c, v, p in ((self.follow1, self.c1, self.v1, self.p1), (self.follow2, self.c2, self.v2, self.p2)):
             s = v & 7
-            follow[at] = np.where(p == ids, v + (s < SURE), np.where((s < 2) | (v < 0), fresh, v - s + (s >> 1)))
+            follow[c] = np.where(p == ids, v + (s < SURE), np.where((s < 2) | (v < 0), new, v - s + (s >> 1)))
         np.add.at(self.count, ids, 1)
         self.steps += 1
         if self.steps & (self.steps - 1) == 0 or self.steps % 16 == 0:
@@ -176,20 +250,33 @@ def code_ids(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     coder, model = Encoder(lanes, steps), Model(vocabulary)
     table = np.ascontiguousarray(np.pad(ids.astype(np.int32), (0, lanes * steps - n)).reshape(lanes, steps).T)
     before1 = before2 = np.full(lanes, vocabulary, np.int32)
+    one = np.uint64(ONE)
+
+    def decide(at: np.ndarray | slice, yes: np.ndarray, p: np.ndarray) -> None:
+        coder.put(at, np.where(yes, np.uint64(0), p), np.where(yes, p, one - p), one)
+
     for t in range(steps):
         live = min(lanes, max(0, -(-(n - t) // steps)))
         x = table[t, :live]
-        model.predict(before2[:live], before1[:live])
-        place = model.place.take(x)
-        kind = np.where(x == model.p2, ID2, np.where(x == model.p1, ID1, np.where(place >= 0, SEEN, NEW)))
-        coder.put(slice(0, live), *model.span(kind), model.total)
-        if len(some := np.flatnonzero(kind == SEEN)):
-            p = place[some]
-            lo = model.cum.take(p)
-            coder.put(some, lo, model.cum.take(p + 1) - lo, model.cum[-1])
-        if len(some := np.flatnonzero(kind == NEW)):
-            coder.put(some, x[some].astype(np.uint64), np.ones(len(some), np.uint64), np.uint64(vocabulary))
-        model.learn(x, kind)
+        p = model.predict(before2[:live], before1[:live])
+        hit = x == model.a
+        decide(slice(0, live), hit, p)
+        some, p = model.retry(hit)
+        again = x[some] == model.p1[some]
+        decide(some, again, p)
+        left = ~hit
+        left[some[again]] = False
+        left = np.flatnonzero(left)
+        place = model.place.take(x[left])
+        new = place < 0
+        decide(left, new, np.full(len(left), model.fresh_odds()))
+        if len(at := left[~new]):
+            place = place[~new]
+            lo = model.cum.take(place)
+            coder.put(at, lo, model.cum.take(place + 1) - lo, model.cum[-1])
+        if len(at := left[new]):
+            coder.put(at, x[at].astype(np.uint64), np.ones(len(at), np.uint64), np.uint64(vocabulary))
+        model.learn(x, hit, again, new)
         before2, before1 = before1[:live], x
     return coder.streams()
 
@@ -199,26 +286,34 @@ def uncode_ids(streams: list[bytes], n: int, vocabulary: int) -> np.ndarray:
     coder, model = Decoder(streams), Model(vocabulary)
     table = np.zeros((steps, lanes), np.int32)
     before1 = before2 = np.full(lanes, vocabulary, np.int32)
+    one = np.uint64(ONE)
+
+    def decided(at: np.ndarray | slice, p: np.ndarray) -> np.ndarray:
+        yes = coder.target(at, one) < p
+        coder.take(at, np.where(yes, np.uint64(0), p), np.where(yes, p, one - p))
+        return yes
+
     for t in range(steps):
         live = min(lanes, max(0, -(-(n - t) // steps)))
-        every = slice(0, live)
-        model.predict(before2[:live], before1[:live])
-        v = coder.target(every, model.total)
-        kind = sum((model.bounds.take(model.row + k) <= v).astype(np.int64) for k in (1, 2, 3))
-        coder.take(every, *model.span(kind))
-        x = np.where(kind == ID2, model.p2, model.p1)
-        if len(some := np.flatnonzero(kind == SEEN)):
-            v = coder.target(some, model.cum[-1])
-            p = np.searchsorted(model.cum, v, side="right") - 1
-            lo = model.cum.take(p)
-            coder.take(some, lo, model.cum.take(p + 1) - lo)
-            x[some] = model.ids.take(p)
-        if len(some := np.flatnonzero(kind == NEW)):
-            v = coder.target(some, np.uint64(vocabulary))
-            coder.take(some, v, np.ones(len(some), np.uint64))
-            x[some] = v.astype(np.int32)
+        hit = decided(slice(0, live), model.predict(before2[:live], before1[:live]))
+        x = np.where(hit, model.a, model.p1)
+        some, p = model.retry(hit)
+        again = decided(some, p)
+        left = ~hit
+        left[some[again]] = False
+        left = np.flatnonzero(left)
+        new = decided(left, np.full(len(left), model.fresh_odds()))
+        if len(at := left[~new]):
+            place = model.holder.take(coder.target(at, model.cum[-1]).astype(np.int64))
+            lo = model.cum.take(place)
+            coder.take(at, lo, model.cum.take(place + 1) - lo)
+            x[at] = model.ids.take(place)
+        if len(at := left[new]):
+            v = coder.target(at, np.uint64(vocabulary))
+            coder.take(at, v, np.ones(len(at), np.uint64))
+            x[at] = v.astype(np.int32)
         table[t, :live] = x
-        model.learn(x, kind)
+        model.learn(x, hit, again, new)
         before2, before1 = before1[:live], x
     return table.T.reshape(-1)[:n].astype(np.int64)
 
@@ -273,6 +368,61 @@ def pieces_of(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+class WordIds(dict):
+    """The place of each blank-separated word, whose ids the library makes once.
+
+    The tokenizer drops blanks and lets no token cross one, so the ids of a text are those of its words. Words and ids are
+    forgotten when they get many or large; nothing depends on what is kept.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        self.bytes, self.flat = 0, np.zeros(0, np.int32)
+        self.first = self.size = np.zeros(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        self.new.append(word)
+        self.bytes += len(word)
+        return at
+
+    def learn(self) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.new], add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))])
+        self.new = []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self) > KEPT_WORDS or self.bytes > KEPT_BYTES:
+            self.forget()
+        places = [np.fromiter(map(self.__getitem__, t.encode().split()), np.int64) for t in texts]
+        if self.new:
+            self.learn()
+        ends = np.cumsum([0, *map(len, places)])
+        at = np.concatenate(places)
+        size = self.size[at]
+        end = np.cumsum(size)
+        ids = self.flat[np.arange(len(at) and end[-1]) + np.repeat(self.first[at] - end + size, size)].astype(np.int64)
+        return np.split(ids, np.concatenate([[0], end])[ends[1:-1]])
+
+
+@lru_cache(1)
+def word_ids(tokenizer_path: str) -> WordIds:
+    """One for all tasks of a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_file(tokenizer_path))
+
+
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, vocabulary: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenize every whole text, end each by end_id, and write the blocks below path: files in ascending order of doc_id.
 
@@ -281,12 +431,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer_path)
-        size = vocabulary or max(tok.get_vocab_size(), end_id + 1)
+        words = word_ids(tokenizer_path)
+        size = vocabulary or max(words.tokenizer.get_vocab_size(), end_id + 1)
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("block", pa.binary())])
         table: list[tuple] = []
@@ -300,16 +448,13 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
             table, held, n, seq, start = [], [], 0, seq + 1, start + n
             return made
 
-        def encode(texts: list[str]) -> list[np.ndarray]:
-            return [np.array(e.ids, dtype=np.int64) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
         for batch in batches:
             names = batch.column(0).to_pylist()
             for a, b, texts in groups_of(batch, 1, 1_000_000):
                 if len(texts) == 1 and len(texts[0]) > PIECE:
-                    coded = [np.concatenate([x for p in pieces_of(texts[0]) for x in encode([p])])]
+                    coded = [np.concatenate([x for p in pieces_of(texts[0]) for x in words.encode([p])])]
                 else:
-                    coded = encode(texts)
+                    coded = words.encode(texts)
                 for name, ids in zip(names[a:b], coded, strict=True):
                     ids = np.append(ids, end_id)
                     if n and n + len(ids) > BLOCK:

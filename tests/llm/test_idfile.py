@@ -72,6 +72,33 @@ def test_round_trip(spark, tokenizer, monkeypatch, block, piece):
     assert idfile.round_trip(df.limit(0), TOKENIZER).count() == 0
 
 
+def test_ids_of_words_are_those_of_the_text(tokenizer, monkeypatch):
+    rnd = random.Random(5)
+    odd = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000] + list("\uac00\u1100\u1161\ufb01\ufeff\U0001f600\U00010400\u4e2d")
+    texts = [f"a{c}b {c} {c}{c} it's{c}D\t{c}\u0301 e\u0301{c}" for c in odd]
+    texts += ["".join(rnd.choice([*" \t\n\r\x0b\x0c\x1c\x85\xa0\u2003", "'s", "'Re", "1", "word", "\u0301", "<|endoftext|>", "\u03a3", "\u0130", "!", rnd.choice(odd)]) for _ in range(30)) for _ in range(3_000)]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for kept in (idfile.KEPT_WORDS, 50):
+        monkeypatch.setattr(idfile, "KEPT_WORDS", kept)
+        words = idfile.WordIds(tokenizer)
+        got = [x.tolist() for at in range(0, len(texts), 500) for x in words.encode(texts[at : at + 500])]
+        assert got == want
+    assert [x.tolist() for x in words.encode(["", "  "])] == [[], []]
+
+
+def test_mixing_beats_single_orders():
+    """Ids that order 2 tells, order 1 tells and order 0 tells, by turns, each far below its plain cost."""
+    rng = np.random.default_rng(3)
+    follows = rng.integers(0, 5_000, 5_000)
+    ids = [0]
+    for _ in range(150_000):
+        ids.append(int(follows[ids[-1]]) if rng.random() < 0.8 else int(5_000 * rng.random() ** 4))
+    ids = np.array(ids)
+    count = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    plain = -(count * np.log2(count)).sum()
+    assert 8 * sum(map(len, idfile.code_ids(ids, 49_408))) / len(ids) < 0.62 * plain
+
+
 def test_pieces_join():
     text = "some words\tand\nothers " * 30_000
     assert " ".join("".join(p) for p in idfile.pieces_of(text)).split() == text.split()
