@@ -7,9 +7,10 @@ segments): a farther miss in each would add up to more. The search of a query en
 is no larger, so results are exact, ties included. When the next radius has more probes than the index has codes,
 verifying the codes themselves covers every distance at once.
 
-Rows of equal codes are one index entry with its k + 1 smallest ids, since no others can be among the k nearest. The
-index is built for each shard of codes in its task; queries travel in blocks of bounded size; shards' results meet by
-(query code, distance, id), of which a rank limit passes on k + 1 for each.
+Rows of equal codes are one index entry with its k + 1 smallest ids, since no others can be among the k nearest. Codes
+and queries are both rows: codes are hashed into shards, queries into blocks, and each pair of a shard and a block is
+a group of bounded size, which builds the shard's index and searches it for the block; there are as many pairs as keep
+all tasks busy. Results of the shards meet by query code, of which a rank limit passes on k + 1 each.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import Workspace, batch_of, row_count
+from shelfwatch.llm.common import Workspace, batch_of, grouped, row_count
 
 SEGMENT = 16
 SHARD, BLOCK = 200_000, 100_000
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 FOUND = pa.schema([("q", pa.binary()), ("distance", pa.int32()), ("vec_id", pa.int64()), ("code", pa.binary())])
 
 
@@ -62,49 +63,46 @@ class Index:
         self.order = [np.argsort(codes[:, s], kind="stable") for s in range(self.m)]
         self.first = [np.searchsorted(codes[o, s], np.arange((1 << SEGMENT) + 1)) for s, o in enumerate(self.order)]
 
-    def distances(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(q ^ self.codes[at]).sum(axis=1, dtype=np.int32)
+    def probed(self, queries: np.ndarray, active: np.ndarray, s: int, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, code) of every code whose segment differs from the query's by one of the flips."""
+        values = (queries[active, s].astype(np.int64)[:, None] ^ flips).ravel()
+        lo = self.first[s][values]
+        size = self.first[s][values + 1] - lo
+        at = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+        return np.repeat(np.repeat(active, len(flips)), size), self.order[s][at]
 
-    def nearest(self, queries: np.ndarray, counts: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, codes, distances) of all codes up to each query's k-th distance; counts: rows of each code, at most k."""
+    def nearest(self, queries: np.ndarray, counts: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(queries, codes, distances) of all codes up to each query's k-th distance; counts: rows of each code, at most k."""
         per = max(1, AT_ONCE // max(1, self.n))
         for at in range(0, len(queries), per):
             yield from self._some(queries, np.arange(at, min(len(queries), at + per)), counts, k)
 
-    def _some(self, queries: np.ndarray, active: np.ndarray, counts: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {int(q): [] for q in active}
-        held = {int(q): np.zeros(0, np.int64) for q in active}
+    def _some(self, queries: np.ndarray, active: np.ndarray, counts: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        bits, base = SEGMENT * self.m, int(active[0])
+        within = np.zeros((len(active), bits + 1), np.int64)  # rows by distance, so far
+        found = np.zeros((3, 0), np.int64)
         for r in range(SEGMENT + 1):
             flips = masks(r)
             scan = len(flips) > self.n
             for s in range(self.m):
-                covered = 16 * self.m if scan or r == SEGMENT else self.m * r + s
-                left = []
-                for q in active.tolist():
-                    if scan:
-                        got = np.arange(self.n)
-                    else:
-                        values = flips ^ int(queries[q, s])
-                        lo, hi = self.first[s][values], self.first[s][values + 1]
-                        some = hi > lo
-                        got = np.concatenate([self.order[s][a:b] for a, b in zip(lo[some].tolist(), hi[some].tolist(), strict=True)] or [held[q][:0]])
-                    new = np.setdiff1d(got, held[q])
-                    if len(new):
-                        held[q] = np.union1d(held[q], new)
-                        found[q].append((new, self.distances(queries[q], new)))
-                    code = np.concatenate([x for x, _ in found[q]] or [new])
-                    d = np.concatenate([x for _, x in found[q]] or [new])
-                    order = np.argsort(d, kind="stable")
-                    enough = np.searchsorted(np.cumsum(counts[code[order]]), k)
-                    kth = int(d[order[enough]]) if enough < len(order) else None
-                    if (kth is not None and kth <= covered) or covered >= 16 * self.m:
-                        keep = d <= (kth if kth is not None else 16 * self.m)
-                        yield q, code[keep], d[keep]
-                    else:
-                        left.append(q)
-                active = np.array(left, dtype=np.int64)
-                if not len(active):
-                    return
+                q, a = (np.repeat(active, self.n), np.tile(np.arange(self.n), len(active))) if scan else self.probed(queries, active, s, flips)
+                each = np.bitwise_count(queries[q] ^ self.codes[a]).astype(np.int64)
+                # What an earlier probe has found is left out: by a segment already done with this radius, or by any with the last one.
+                new = (each[:, :s] > r).all(axis=1) & (each[:, s if scan else s + 1 :] > r - 1).all(axis=1)
+                q, a, d = q[new], a[new], each[new].sum(axis=1)
+                np.add.at(within, (q - base, d), counts[a])
+                found = np.concatenate([found, np.stack([q, a, d])], axis=1)
+                covered = bits if scan or r == SEGMENT else self.m * r + s
+                known = np.cumsum(within[active - base], axis=1)
+                done = (known[:, covered] >= k) | (covered >= bits)
+                if done.any():
+                    kth = np.full(len(within), -1, np.int64)
+                    kth[active[done] - base] = np.where(known[done, -1] >= k, (known[done] >= k).argmax(axis=1), bits)
+                    mine = kth[found[0] - base]
+                    yield tuple(found[:, found[2] <= mine])
+                    found, active = found[:, mine < 0], active[~done]
+                    if not len(active):
+                        return
 
 
 def segments(codes: list[bytes]) -> np.ndarray:
@@ -128,37 +126,37 @@ def nearest_codes(vectors: DataFrame, every: int = 20, k: int = 10, bits: int |
     classes = codes.distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     classes = ws.save(classes, "classes")
     queries = codes.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
-    distinct = ws.save(queries.select("code").distinct(), "queries")
-    blocks = max(1, -(-row_count(distinct) // BLOCK))
-    shards = max(1, -(-row_count(classes) // SHARD))
-
-    def searcher(wanted: list[bytes]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = list(batches)
-            code = [c for b in parts for c in b.column(0).to_pylist()]
-            if not code or not wanted:
-                return
-            ids = [np.array(i) for b in parts for i in b.column(1).to_pylist()]
-            index, out = Index(segments(code)), []
-            for q, at, d in index.nearest(segments(wanted), np.array([len(i) for i in ids]), k + 1):
-                pairs = sorted((int(x), int(i), a) for a, x in zip(at.tolist(), d, strict=True) for i in ids[a])[: k + 1]
-                out += [(wanted[q], x, i, code[a]) for x, i, a in pairs]
-                if len(out) > 50_000:
-                    yield batch_of(FOUND, zip(*out, strict=True))
-                    out = []
-            if out:
-                yield batch_of(FOUND, zip(*out, strict=True))
-
-        return run
-
-    found = None
-    for b in range(blocks):
-        block = [r.code for r in distinct.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == b).collect()]
-        part = classes.repartition(shards, "code").mapInArrow(searcher([bytes(c) for c in block]), "q binary, distance int, vec_id long, code binary")
-        found = part if found is None else found.unionByName(part)
+    asked = ws.save(queries.select("code").distinct(), "queries")
+    shards, n, parallel = max(1, -(-row_count(classes) // SHARD)), row_count(asked), spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // BLOCK), min(n, -(-2 * parallel // shards)))
+    tasks = min(shards * blocks, max(4 * parallel, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    part = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = classes.select(part(shards).alias("shard"), every_one(blocks).alias("block"), "code", "ids")
+    rows = held.unionByName(asked.select(part(blocks).alias("block"), every_one(shards).alias("shard"), "code", F.lit(None).cast("array<bigint>").alias("ids")))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 2):
+            query = t.column(3).is_null().to_numpy()
+            wanted, code = (t.column(2).filter(pa.array(x)).to_pylist() for x in (query, ~query))
+            if not wanted or not code:
+                continue
+            lists = t.column(3).filter(pa.array(~query)).combine_chunks()
+            ids, count = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            first = np.cumsum(count) - count
+            for q, a, d in Index(segments(code)).nearest(segments(wanted), count, k + 1):
+                size = count[a]
+                at = np.arange(size.sum()) + np.repeat(first[a] - np.cumsum(size) + size, size)
+                q, a, d, i = *(np.repeat(x, size) for x in (q, a, d)), ids[at]
+                q, a, d, i = (x[np.lexsort((a, i, d, q))] for x in (q, a, d, i))
+                best = np.arange(len(q)) - np.searchsorted(q, q) <= k  # the first k + 1 of each query
+                q, a = q[best].tolist(), a[best].tolist()
+                yield batch_of(FOUND, ([wanted[x] for x in q], d[best], i[best], [code[x] for x in a]))
+
+    found = rows.select("shard", "block", "code", "ids").repartition(tasks, "shard", "block").sortWithinPartitions("shard", "block").mapInArrow(search, "q binary, distance int, vec_id long, code binary")
     best = F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id", "code"))
     found = found.withColumn("nth", best).where(F.col("nth") <= k + 1).select("q", "distance", "vec_id", "code")
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
-    others = asked.join(found, "q").where((F.col("query_id") != F.col("vec_id")) | (F.col("q") != F.col("code")))
+    own = queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
+    others = own.join(found, "q").where((F.col("query_id") != F.col("vec_id")) | (F.col("q") != F.col("code")))
     rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy("distance", "vec_id", "code"))
     return others.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import Workspace, batch_of, groups_of, keyed_text, row_count, text_hash, without
+from shelfwatch.llm.common import Workspace, batch_of, grouped, groups_of, keyed_text, row_count, text_hash, without
 
 COORDINATES = 64
 NODE = 4096
@@ -320,25 +320,6 @@ def blocks_of(rows: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     return rows.select("path", F.explode(where).alias("block"), "cid", "label", "kind", "home")
 
 
-def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
-    """The tables of rows that agree in the first columns, from batches sorted by these."""
-    held: list[pa.Table] = []
-    for big in batches:
-        for at in range(0, big.num_rows, 2_000):
-            held.append(pa.Table.from_batches([big.slice(at, 2_000)]))
-            whole = pa.concat_tables(held)
-            differs = np.zeros(max(0, whole.num_rows - 1), bool)
-            for c in range(columns):
-                x = whole.column(c).to_numpy()
-                differs |= x[1:] != x[:-1]
-            cuts = [0, *(np.flatnonzero(differs) + 1).tolist()]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                yield whole.slice(a, b - a)
-            held = [whole.slice(cuts[-1])]
-    if held and held[0].num_rows:
-        yield pa.concat_tables(held)
-
-
 def to_compare(label: np.ndarray) -> np.ndarray:
     """The rows that have to look for partners: all but those of the most frequent label."""
     names, at, count = np.unique(label, return_inverse=True, return_counts=True)
