@@ -25,7 +25,6 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from shelfwatch.llm.common import Workspace, batch_of, groups_of, keyed_text
 
 MAGIC = b"IDB1"
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 LANES, LANE_LEAST = 8192, 64
 HALF, WORD = np.uint64(32), np.uint64(1 << 32)
 ORDER2_BITS = 18
@@ -42,7 +41,7 @@ ONE = 1 << 16  # a probability of 1
 LEVELS = 32  # of order 0's frequencies: half powers of two
 RATE = 14  # by which power of two the mixing weights' mean gradient is divided, less two
 PIECE = 200_000
-KEPT_WORDS, KEPT_BYTES = 800_000, 32 << 20
+KEPT_WORDS, KEPT_BYTES = 500_000, 32 << 20
 #: Log odds (256 is 1) of probabilities by 16ths of 1/4096, and probabilities of log odds from -2047.
 STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int64)
 SQUASH = np.array([min(ONE - 24, max(24, round(ONE / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
@@ -315,7 +314,7 @@ def uncode_ids(streams: list[bytes], n: int, vocabulary: int) -> np.ndarray:
         table[t, :live] = x
         model.learn(x, hit, again, new)
         before2, before1 = before1[:live], x
-    return table.T.reshape(-1)[:n].astype(np.int64)
+    return table.T.reshape(-1)[:n]
 
 
 def write_block(docs: list[tuple[int | None, int, int]], ids: np.ndarray, start: int, vocabulary: int) -> bytes:
@@ -350,7 +349,7 @@ def read_block(block: bytes) -> tuple[list[tuple[int | None, int, int]], np.ndar
     for s in sizes:
         streams.append(block[at : at + s])
         at += s
-    ids = uncode_ids(streams, n, vocabulary) if n else np.zeros(0, np.int64)
+    ids = uncode_ids(streams, n, vocabulary) if n else np.zeros(0, np.int32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("damaged block")
     return docs, ids, start
@@ -410,7 +409,7 @@ class WordIds(dict):
         at = np.concatenate(places)
         size = self.size[at]
         end = np.cumsum(size)
-        ids = self.flat[np.arange(len(at) and end[-1]) + np.repeat(self.first[at] - end + size, size)].astype(np.int64)
+        ids = self.flat[np.arange(len(at) and end[-1]) + np.repeat(self.first[at] - end + size, size)]
         return np.split(ids, np.concatenate([[0], end])[ends[1:-1]])
 
 
@@ -443,7 +442,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
 
         def close() -> pa.RecordBatch:
             nonlocal table, held, n, seq, start
-            ids = np.concatenate(held) if held else np.zeros(0, np.int64)
+            ids = np.concatenate(held) if held else np.zeros(0, np.int32)
             made = batch_of(schema, ([part], [seq], [write_block(table, ids, start, size)]))
             table, held, n, seq, start = [], [], 0, seq + 1, start + n
             return made
@@ -456,7 +455,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
                 else:
                     coded = words.encode(texts)
                 for name, ids in zip(names[a:b], coded, strict=True):
-                    ids = np.append(ids, end_id)
+                    ids = np.append(ids, np.int32(end_id))
                     if n and n + len(ids) > BLOCK:
                         yield close()
                     before = 0
@@ -501,8 +500,10 @@ def crc_combine(a: int, b: int, n: int) -> int:
     return a ^ b
 
 
-def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+def joined(pdf):
     """One document from its parts in several blocks."""
+    import pandas as pd
+
     p = pdf.sort_values("before")
     crc, n = 0, 0
     for c, k in zip(p["crc"].tolist(), p["n"].tolist(), strict=True):
