@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Lines with one of these are page furniture; a phrase may be part of a longer word.
 BOILERPLATE = ("cookie", "privacy policy", "terms of service", "newsletter", "subscribe", "sign up", "log in", "login", "add to cart", "cart", "checkout", "shipping", "search", "filter")
+# What personal data looks like, and the tags that hide text or end a line.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?U)\+?\d[\d\s().-]{7,}\d"
 LEAST_DIGITS = 10
@@ -99,9 +100,17 @@ def variant_lines(variants: Column) -> Column:
     return F.when(F.size(variants) > 0, F.concat(F.array(F.lit("  variants:")), F.transform(variants, line))).otherwise(F.array().cast("array<string>"))
 
 
+# Names of simplified Chinese; all else is English.
+CHINESE = ("zh", "zh-cn", "zh-hans", "cn", "simplified", "simplified-chinese")
+
+
 def language(value: Column) -> Column:
-    # Names of simplified Chinese; all else is English.
-    return F.when(F.lower(F.trim(value)).isin("zh", "zh-cn", "zh-hans", "cn", "simplified", "simplified-chinese"), "zh").otherwise("en")
+    return F.when(F.lower(F.trim(value)).isin(*CHINESE), "zh").otherwise("en")
+
+
+def language_of(value: str) -> str:
+    """As language(), for one value."""
+    return "zh" if value.strip().lower() in CHINESE else "en"
 
 
 def tokens(values: Column) -> Column:

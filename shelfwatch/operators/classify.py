@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import dates
@@ -14,7 +14,8 @@ def marked(rows: DataFrame, store: DataFrame, run_day, days: int, persist: bool,
 
     rows have published, modified, lastmod (text, '' if missing) and the key; store has the key and first_seen_at.
     With persist an unknown item is recorded when met: it counts as undated, gets run_day and is new, and a later row of
-    its key is dated by that record. Without, an unknown item is undated and outside.
+    its key is dated by that record; order says which row is later, and rows of one place are met together. Without,
+    an unknown item is undated and outside. Keys are not null.
     """
     seen = store.select(key, F.col("first_seen_at").alias("_seen_at"))
     joined = rows.join(seen, key, "left")
@@ -22,8 +23,10 @@ def marked(rows: DataFrame, store: DataFrame, run_day, days: int, persist: bool,
     out = joined.withColumn("_found", found)
     day, source = F.col("_found.date"), F.col("_found.source")
     if persist:
-        again = F.row_number().over(Window.partitionBy(key).orderBy(*(order or ["pos"]))) > 1
-        out = out.withColumn("_again", again)
+        # The first row of a key comes from partial aggregation, so a hot key is one row of the join's other side.
+        place = F.struct(*(F.col(o).alias(f"o{i}") for i, o in enumerate(order or ["pos"])))
+        first = rows.groupBy(key).agg(F.min(place).alias("_first"))
+        out = out.join(first, key).withColumn("_again", place != F.col("_first"))
         undated = day.isNull() & ~F.col("_again")
         source = F.when(undated, "undated").when(day.isNull(), "seen_at").otherwise(source)
         inside = dates.in_window(F.coalesce(day, run_day), run_day, days)

@@ -6,16 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def nth_below(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
+    """The first rows of each key. The rank limit is applied before the shuffle too, so a hot key sends that many rows a task."""
+    name = "nth"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(name, nth).where(F.col(name) <= most).drop(name)
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key. The rank limit is applied before the shuffle too, so a hot key sends one row a task."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_nth", n).where(F.col("_nth") == 1).drop("_nth")
+    """The first row of each key."""
+    return nth_below(df, keys, order, 1)
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each key, at least one."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_nth", nth).where(F.col("_nth") <= max(1, n)).drop("_nth")
+    return nth_below(df, keys, order, max(1, n))
 
 
 def last_wins(df: DataFrame, keys: list[str], value: str, order: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "hash string, url string, title string, description string, first_seen_at string, shopify_updated_at string, roaster string, platform string"
 LATEST = ("url", "title", "description")
+KEPT = 5  # snapshots: a run reads the one that it began with
 KEPT_IF_BLANK = ("shopify_updated_at", "roaster", "platform")
 
 
@@ -28,7 +29,7 @@ def merged(store: DataFrame, batch: DataFrame, order: str = "pos") -> DataFrame:
 
 
 class SeenStore:
-    """Snapshots v=N below a path that Spark reads, and the number of the current one. A snapshot is only ever added, so a failed write leaves the last one valid."""
+    """Snapshots v=N below a path that Spark reads, and the number of the current one. A snapshot is added whole, so a failed write leaves the last one valid; the last KEPT stay."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -54,4 +55,7 @@ class SeenStore:
     def upsert(self, batch: DataFrame, order: str = "pos") -> int:
         v = self.version() + 1
         merged(self.read(), batch, order).write.mode("overwrite").parquet(f"{self.path}/v={v}")
+        old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v - KEPT}")
+        if self.fs.exists(old):
+            self.fs.delete(old, True)
         return v

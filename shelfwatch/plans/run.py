@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import logging
 import uuid
+from collections.abc import Callable, Mapping
 from dataclasses import fields
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import reduce
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import text
 from shelfwatch.operators import classify, render, reparse
 from shelfwatch.operators.relational import ordered_union
 from shelfwatch.operators.seen import SeenStore
-from shelfwatch.plans import evaluator
-from shelfwatch.sources import catalog, config, jsonld, reports
+from shelfwatch.plans import evaluator, logs
+from shelfwatch.sources import catalog, config, fetch, jsonld, reports, sitemap
 from shelfwatch.sources.config import Settings, Source
 
 WINDOW_DAYS = 7
+LOG = logging.getLogger("shelfwatch")
 
 
 def products_of(responses: DataFrame, sources: list[Source], limit: int) -> DataFrame:
@@ -28,20 +33,39 @@ def products_of(responses: DataFrame, sources: list[Source], limit: int) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
-def with_page_text(products: DataFrame, pages: DataFrame, chars: int = 0, stop_phrases: tuple[str, ...] = ()) -> DataFrame:
-    """products with page_text and modified; pages: (url, html, modified). Sources whose feed has the descriptions never look at pages."""
-    needs = (F.col("body_html") == "") & (F.col("platform") != "shopify")
-    about = pages.select("url", jsonld.page_text(F.col("html"), stop_phrases, chars).alias("page_text"), "modified")
-    return products.withColumn("_needs", needs).join(about, "url", "left").select(*products.columns, F.when(F.col("_needs"), F.coalesce("page_text", F.lit(""))).otherwise("").alias("page_text"), F.when(F.col("_needs"), F.coalesce("modified", F.lit(""))).otherwise("").alias("modified"))
+def needs_page() -> Column:
+    """Is a product described by its page only? Sources whose feed has the descriptions never look at pages."""
+    return (F.col("body_html") == "") & (F.col("platform") != "shopify")
+
+
+def with_page_text(products: DataFrame, pages: DataFrame, chars: int = 0, stop_phrases: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """products with page_text, cut at its source's stop phrases, and modified; pages: (url, html, modified)."""
+    about = pages.select("url", jsonld.page_text(F.col("html"), (), chars).alias("page_text"), "modified")
+    rows = products.withColumn("_needs", needs_page()).join(about, "url", "left")
+    shown = F.col("page_text")
+    for source, phrases in (stop_phrases or {}).items():
+        shown = F.when(F.col("source") == source, text.trimmed_at(F.col("page_text"), phrases)).otherwise(shown)
+    told = lambda c: F.when(F.col("_needs"), F.coalesce(c, F.lit(""))).otherwise("")
+    return rows.select(*products.columns, told(shown).alias("page_text"), told(F.col("modified")).alias("modified"))
 
 
 class Run:
     """One day's run. run_day is fixed when it starts, so nothing depends on the clock later."""
 
-    def __init__(self, spark: SparkSession, settings: Settings, sources: list[Source], run_id: str, store: SeenStore, ask: evaluator.Evaluator = evaluator.stub):
-        self.spark, self.s, self.sources, self.run_id, self.store, self.ask = spark, settings, sources, run_id, store, ask
+    def __init__(self, spark: SparkSession, settings: Settings, sources: list[Source], run_id: str, store: SeenStore, ask: evaluator.Evaluator = evaluator.stub, ask_digest: evaluator.Evaluator | None = None, deny: DataFrame | None = None):
+        self.spark, self.s, self.run_id, self.store, self.ask, self.ask_digest = spark, settings, run_id, store, ask, ask_digest or ask
+        self.sources = sources if deny is None else self.not_denied(sources, deny)
         self.run_day = datetime.strptime(run_id, "%Y%m%d").date()
-        self.lang = "zh" if self.s.language.strip().lower() in ("zh", "zh-cn", "zh-hans", "cn", "simplified", "simplified-chinese") else "en"
+        self.lang = text.language_of(self.s.language)
+
+    def not_denied(self, sources: list[Source], deny: DataFrame) -> list[Source]:
+        """Sources whose host isn't on the denylist, in their order."""
+        urls = self.spark.createDataFrame([(i, s.base_url) for i, s in enumerate(sources)], "i int, base_url string")
+        left = {r.i for r in config.allowed(urls, deny).collect()}
+        for i, s in enumerate(sources):
+            if i not in left:
+                LOG.info("%s is denied", s.name)
+        return [s for i, s in enumerate(sources) if i in left]
 
     def saved(self, df: DataFrame, name: str) -> DataFrame:
         """df as a table beside the store: what several outputs of a run share is computed once and survives lost executors."""
@@ -49,6 +73,24 @@ class Run:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def products(self, responses: DataFrame, wanted: list[Source]) -> DataFrame | None:
+        """Products of the sources, as a table; one whose responses can't be parsed is logged and left out, and the others go on. None if none is left."""
+        try:
+            return self.saved(products_of(responses, wanted, self.s.max_products_per_source), "products")
+        except Exception as e:  # noqa: BLE001  whichever source it was, by itself it fails alone
+            if len(wanted) == 1:
+                LOG.error("%s failed: %s", wanted[0].name, logs.snippet(str(e), 500))
+                return None
+        parts = [df for s in wanted if (df := self.products(responses, [s])) is not None]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def log_unreadable(self, responses: DataFrame) -> None:
+        """The beginnings of responses that should be JSON and aren't."""
+        bad = responses.where(F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("json")) & F.try_parse_json("body").isNull())
+        most = self.s.log_json_max_chars
+        for r in bad.select("source", "pos", (F.substring("body", 1, most + 1) if most > 0 else F.col("body")).alias("body")).limit(20).collect():
+            LOG.warning("%s, page %s is no JSON: %s", r.source, r.pos, logs.snippet(r.body or "", most))
+
     def classified(self, products: DataFrame, lastmods: DataFrame) -> DataFrame:
         """products, described and marked new or not; known ones are recorded in the store, whether in the window or not."""
         order = F.struct("source", "pos", "item")
@@ -65,6 +107,8 @@ class Run:
         """(file_name, text): a report for each source with products."""
         lists = render.item_list(products, ["source"], ["pos", "item"], self.s.batch_page_text_max_chars).withColumnRenamed("text", "items")
         prompts = render.batch_prompts(products, ["source"], ["pos", "item"], self.lang, self.s.batch_page_text_max_chars).select(F.col("source").alias("name"), F.col("text").alias("prompt"))
+        if self.s.save_prompt:
+            reports.write(prompts.select(reports.file_name(self.run_id, F.col("name"), "prompt", "txt").alias("file_name"), F.col("prompt").alias("text")), self.s.reports_dir)
         if self.s.fetch_only or self.s.skip_gemini:
             told = prompts.withColumn("response", F.lit(None).cast("string"))
             note = F.lit("Text generation was skipped.")
@@ -94,23 +138,45 @@ class Run:
         failed = reparse.failed_names(ranked)
         order = ordered_union(failed.select("name", F.struct(F.col("pos.pos").alias("a"), F.col("pos.n").alias("b")).alias("pos")), gone.select("name", F.struct(F.lit("").alias("a"), F.col("pos").cast("int").alias("b")).alias("pos")))
         names_failed = [r.name for r in order.orderBy("grp", "pos").collect()]
+        if self.s.save_prompt and not self.s.skip_gemini:
+            reports.write(jobs.select(F.concat(F.lit(f"{self.run_id}-z-"), "name", F.lit(".prompt.txt")).alias("file_name"), F.col("prompt").alias("text")), self.s.reports_dir)
         if self.s.skip_gemini:
             return jobs.select(F.concat(F.lit(f"{self.run_id}-z-"), "name", F.lit(".prompt.txt")).alias("file_name"), F.col("prompt").alias("text"))
-        told = evaluator.evaluated(jobs, self.ask, 1).withColumn("got", evaluator.read(F.col("response")))
+        told = evaluator.evaluated(jobs, self.ask_digest, 1).withColumn("got", evaluator.read(F.col("response")))
         return told.select(F.concat(F.lit(f"{self.run_id}-z-"), "name", F.lit(".md")).alias("file_name"), render.with_failures(F.col("got.text"), names_failed).alias("text")).where("text <> ''")
 
-    def full(self, responses: DataFrame, pages: DataFrame, lastmods: DataFrame, only: DataFrame | None = None) -> None:
-        """All of it, or for the sources in `only` (name)."""
+    def full(self, responses: DataFrame, pages: DataFrame | Callable[[DataFrame], DataFrame], lastmods: DataFrame, only: DataFrame | None = None) -> None:
+        """All of it, or for the sources in `only` (name). pages are given, or made for the products (source, url) that need them."""
         wanted = self.sources if only is None else [s for s in self.sources if s.name in {r.name for r in only.select("name").collect()}]
         names = self.spark.createDataFrame([(s.name, i) for i, s in enumerate(self.sources)], "name string, pos int")
-        if wanted:
-            found = self.saved(with_page_text(products_of(responses, wanted, self.s.max_products_per_source), pages, self.s.page_text_max_chars), "products")
-            self.classified(found, lastmods)
+        self.log_unreadable(responses)
+        if self.s.save_raw_products_json or self.s.save_pretty_products_json:
+            reports.write(reports.assets(responses, self.run_id, self.s.save_raw_products_json, self.s.save_pretty_products_json), self.s.reports_dir)
+        found = self.products(responses, wanted) if wanted else None
+        if found is not None:
+            if callable(pages):
+                pages = self.saved(pages(found.where(needs_page())), "pages")
+            phrases = {s.name: s.page_text_stop_phrases for s in wanted if s.page_text_stop_phrases}
+            found = self.saved(with_page_text(found, pages, self.s.page_text_max_chars, phrases), "described")
+            counts = classify.counts(self.classified(found, lastmods)).first()
+            LOG.info("products: %s", counts.asDict())
             if self.s.save_report:
                 reports.write(self.report_rows(found), self.s.reports_dir)
         reports.write(self.digests(reports.scan(self.spark, self.s.reports_dir, self.run_id), names), self.s.reports_dir)
 
-    def resume(self, responses: DataFrame, pages: DataFrame, lastmods: DataFrame) -> None:
+    def live(self, transport: Callable[[], fetch.Transport]) -> None:
+        """A full or resumed run over what is fetched now."""
+        responses = self.saved(fetch.capture(self.spark, self.sources, self.s, transport), "responses")
+        dated = [s for s in self.sources if s.platform == "wix"]
+        files = self.saved(fetch.capture_sitemaps(self.spark, dated, self.s, transport), "sitemaps") if dated else None
+        lastmods = self.spark.createDataFrame([], "url string, lastmod string, pos int")
+        for i, s in enumerate(dated):
+            own = sitemap.product_lastmods(files.where(F.col("source") == s.name).select("url", "xml"), s.base_url, s.product_link_patterns, s.product_link_exclude_patterns)
+            lastmods = lastmods.unionByName(own.select("url", "lastmod", F.lit(i).alias("pos")))
+        pages = lambda products: fetch.capture_pages(products, self.sources, self.s, transport)
+        (self.resume if self.s.resume else self.full)(responses, pages, lastmods)
+
+    def resume(self, responses: DataFrame, pages: DataFrame | Callable[[DataFrame], DataFrame], lastmods: DataFrame) -> None:
         """The sources whose report is missing or failed, then new digests."""
         names = self.spark.createDataFrame([(s.name, i) for i, s in enumerate(self.sources)], "name string, pos int").withColumn("file_name", reports.file_name(self.run_id, F.col("name")))
         self.full(responses, pages, lastmods, reparse.resume_targets(names, reports.scan(self.spark, self.s.reports_dir, self.run_id), "file_name"))
@@ -134,7 +200,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     """An option for each setting; flags also as --no-..."""
     p = argparse.ArgumentParser(prog="shelfwatch")
     p.add_argument("--config")
-    p.add_argument("--responses", help="captured responses (Parquet: source, pos, base_url, content_type, body)")
+    p.add_argument("--client", help="module:name of a text-generation client (plans.evaluator.Client); without it a stub answers")
+    p.add_argument("--responses", help="captured responses (Parquet: source, pos, base_url, content_type, body); without them sources are fetched now")
     p.add_argument("--pages", help="captured product pages (Parquet: url, html, modified)")
     p.add_argument("--lastmods", help="sitemap dates (Parquet: url, lastmod, pos)")
     p.add_argument("--run-id")
@@ -147,19 +214,33 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     return p.parse_args(argv)
 
 
-def main(argv: list[str] | None = None) -> int:
-    from datetime import timezone
+def generators(spec: str | None, s: Settings) -> tuple[evaluator.Evaluator, evaluator.Evaluator]:
+    """What answers prompts of reports and of digests."""
+    if not spec:
+        return evaluator.stub, evaluator.stub
+    module, _, name = spec.partition(":")
+    client = getattr(importlib.import_module(module), name)
+    return evaluator.Generation(client, s.model, s.gemini_timeout_s, count=True), evaluator.Generation(client, s.digest_model, s.gemini_timeout_s, search=False)
+
 
+def main(argv: list[str] | None = None) -> int:
     from shelfwatch.session import session
 
     args = arguments(argv)
     s = config.settings(vars(args), config.load_json_object(args.config))
+    logs.logger(s)
     spark = session("shelfwatch")
     try:
-        run = Run(spark, s, config.load_sources(s.roasters_path), args.run_id or datetime.now(timezone.utc).strftime("%Y%m%d"), SeenStore(spark, s.seen_db_path))
+        deny = config.denylist(spark, s.denylist_path) if Path(s.denylist_path).exists() else None
+        run = Run(spark, s, config.load_sources(s.roasters_path), args.run_id or datetime.now(timezone.utc).strftime("%Y%m%d"), SeenStore(spark, s.seen_db_path), *generators(args.client, s), deny)
+        Path(s.reports_dir).mkdir(parents=True, exist_ok=True)
         if s.digest_only:
             return run.digest_only()
-        responses, pages = spark.read.parquet(args.responses), spark.read.parquet(args.pages)
+        if not args.responses:
+            run.live(lambda: fetch.http(s.http_timeout_s))
+            return 0
+        responses = spark.read.parquet(args.responses)
+        pages = spark.read.parquet(args.pages) if args.pages else spark.createDataFrame([], "url string, html string, modified string")
         lastmods = spark.read.parquet(args.lastmods) if args.lastmods else spark.createDataFrame([], "url string, lastmod string, pos int")
         (run.resume if s.resume else run.full)(responses, pages, lastmods)
         return 0

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import Any, Protocol
 from urllib.parse import urlsplit
 from urllib.robotparser import RobotFileParser
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwatch.functions.urls import with_params
-from shelfwatch.sources.config import Settings, Source
+from shelfwatch.sources.catalog import links_in
+from shelfwatch.sources.config import Settings, Source, merged_headers
+from shelfwatch.sources.sitemap import CHILD, MOST_FETCHES, ROOTS
 
 # Statuses worth another try.
 AGAIN = (429, 500, 502, 503, 504)
@@ -31,13 +35,48 @@ class Transport(Protocol):
     def __call__(self, url: str, headers: dict[str, str]) -> Response | None: ...
 
 
+def http(timeout_s: float) -> Transport:
+    """GET by the standard library; an answer of any status is one, no answer in time is None."""
+
+    def get(url: str, headers: dict[str, str]) -> Response | None:
+        from urllib.error import HTTPError, URLError
+        from urllib.request import Request, urlopen
+
+        def answer(r) -> Response:
+            return Response(r.status, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), {k.lower(): v for k, v in r.headers.items()})
+
+        try:
+            with urlopen(Request(url, headers=headers), timeout=timeout_s) as r:
+                return answer(r)
+        except HTTPError as e:
+            return answer(e)
+        except (URLError, OSError, ValueError):
+            return None
+
+    return get
+
+
+# Fixed formula: the most to wait before another try.
 def delay(attempt: int, response: Response | None, low: float, high: float, factor: float) -> float:
-    """The most to wait before another try: Retry-After if it is a number, else doubling up to three times the jitter."""
+    """Retry-After if it is a number, else doubling up to three times the jitter."""
+    told = response.headers.get("retry-after", "") if response else ""
+    if re.fullmatch(r"\s*\d+(\.\d*)?\s*", told):
+        return max(float(told), low * factor)
+    least = max(0.5, low * factor)
+    return min(least * 2**attempt, max(least, 3 * high * factor))
+
+
+def products_in(source: Source, r: Response) -> int:
+    """About how many products a catalog page has: enough to tell an empty one, and when a source's limit is reached."""
     try:
-        return max(float((response.headers if response else {}).get("retry-after", "")), low * factor)
+        found = json.loads(r.body)
     except ValueError:
-        least = max(0.5, low * factor)
-        return min(max(least, 3 * high * factor), least * 2**attempt)
+        return sum(any(p in x["href"] for p in source.product_link_patterns if not p.startswith("re:")) for x in links_in(r.body)) or len(r.body.strip()) * any(p.startswith("re:") for p in source.product_link_patterns)
+    for key in source.json_items_path or ():
+        found = found.get(key) if isinstance(found, dict) else None
+    if isinstance(found, dict):
+        found = next((found[k] for k in ("products", "items", "data") if isinstance(found.get(k), list)), [found])
+    return len(found) if isinstance(found, list) else 0
 
 
 class Fetcher:
@@ -69,9 +108,14 @@ class Fetcher:
             self.rules[origin].parse(got.body.splitlines() if got and got.status < 400 else [])
         return self.rules[origin].can_fetch(self.agent, url)
 
-    def pages(self, source: Source, has_items: Callable[[str], bool] = bool) -> Iterator[tuple[int, str, Response]]:
-        """(page, url, response) of a source's catalog; with stop_on_empty up to the first page that fails, is denied or has no items."""
-        p = source.pagination
+    def page(self, url: str, headers: dict[str, str]) -> Response | None:
+        """A page that robots.txt allows and that came well."""
+        got = self.fetch(url, headers) if self.allows(url) else None
+        return got if got is not None and got.status < 400 else None
+
+    def pages(self, source: Source, has_items: Callable[[str], bool] | None = None) -> Iterator[tuple[int, str, Response]]:
+        """(page, url, response) of a source's catalog, up to the page that fills the source's limit; with stop_on_empty up to the first page that fails, is denied or has no items."""
+        p, held = source.pagination, 0
         for n in range(p.start, p.start + p.max_pages):
             params = dict(source.products_params)
             if p.max_pages > 1 or "page" in params:
@@ -79,26 +123,71 @@ class Fetcher:
             if p.page_size_param and p.page_size:
                 params[p.page_size_param] = str(p.page_size)
             url = with_params(source.base_url, source.products_path, params)
-            got = self.fetch(url, dict(source.products_headers)) if self.allows(url) else None
-            good = got is not None and got.status < 400
-            if good:
+            got = self.page(url, merged_headers({}, source.products_headers))
+            size = 0 if got is None else products_in(source, got) if has_items is None else int(has_items(got.body))
+            if got is not None:
                 yield n, url, got
-            if p.stop_on_empty and not (good and has_items(got.body)):
+            held += size if has_items is None else 0
+            if p.stop_on_empty and not size or held >= (source.max_products or self.s.max_products_per_source):
                 return
 
+    def sitemaps(self, base_url: str) -> Iterator[tuple[str, str]]:
+        """(url, xml) of a source's product sitemaps, walked from either root, a bounded number of files each."""
+        for root in ROOTS:
+            queue, seen, dated = [f"{base_url.rstrip('/')}/{root}"], set(), False
+            while queue and len(seen) < MOST_FETCHES:
+                url = queue.pop(0)
+                if url in seen:
+                    continue
+                seen.add(url)
+                if (got := self.page(url, {})) is not None:
+                    yield url, got.body
+                    dated = dated or "<lastmod" in got.body or ":lastmod" in got.body
+                    queue += [x for x in re.findall(r"<(?:\w+:)?loc>\s*([^<]*?)\s*</", got.body) if CHILD in x.lower() and re.search(r"<(?:\w+:)?sitemapindex", got.body)]
+            if dated:
+                return
 
-def capture(spark: SparkSession, sources: list[Source], settings: Settings, transport: Callable[[], Transport]) -> DataFrame:
-    """(source, pos, url, base_url, content_type, body): the sources' catalogs, a task for each source."""
-    by_name = {s.name: s for s in sources}
 
-    def run(batches):
-        import pandas as pd
+def by_source(rows: DataFrame, sources: list[Source], settings: Settings, transport: Callable[[], Transport], fetched: Callable[[Fetcher, Source, Any], Iterator[tuple]], schema: str) -> DataFrame:
+    """What `fetched` gives for each row's source. A source's rows are one task's, for politeness, and no more tasks ask at once than http_concurrency."""
+    import pandas as pd
+
+    by_name, names = {s.name: s for s in sources}, [c.split()[0] for c in schema.split(", ")]
 
+    def run(batches):
+        fetchers: dict[str, Fetcher] = {}
         for pdf in batches:
-            for name in pdf["source"]:
-                s = by_name[name]
-                rows = [(name, n, url, s.base_url, r.headers.get("content-type", ""), r.body) for n, url, r in Fetcher(transport(), settings, s.jitter_multiplier).pages(s)]
-                yield pd.DataFrame(rows, columns=["source", "pos", "url", "base_url", "content_type", "body"])
+            for row in pdf.itertuples(index=False):
+                s = by_name[row.source]
+                fetcher = fetchers.setdefault(s.name, Fetcher(transport(), settings, s.jitter_multiplier))
+                yield pd.DataFrame(list(fetched(fetcher, s, row)), columns=names)
+
+    return rows.repartition(max(1, min(len(sources), settings.http_concurrency)), "source").mapInPandas(run, schema)
+
+
+def _names(spark: SparkSession, sources: list[Source]) -> DataFrame:
+    return spark.createDataFrame([(s.name,) for s in sources], "source string")
+
+
+def capture(spark: SparkSession, sources: list[Source], settings: Settings, transport: Callable[[], Transport]) -> DataFrame:
+    """(source, pos, url, base_url, content_type, body): the sources' catalogs."""
+
+    def catalogs(fetcher: Fetcher, s: Source, row) -> Iterator[tuple]:
+        return ((s.name, n, url, s.base_url, r.headers.get("content-type", ""), r.body) for n, url, r in fetcher.pages(s))
+
+    return by_source(_names(spark, sources), sources, settings, transport, catalogs, "source string, pos long, url string, base_url string, content_type string, body string")
+
+
+def capture_pages(products: DataFrame, sources: list[Source], settings: Settings, transport: Callable[[], Transport]) -> DataFrame:
+    """(url, html, modified) of the pages of products (source, url), each once; those that don't come are left out."""
+
+    def page(fetcher: Fetcher, s: Source, row) -> Iterator[tuple]:
+        if (r := fetcher.page(row.url, merged_headers({}, s.product_page_headers))) is not None:
+            yield row.url, r.body, r.headers.get("last-modified", "")
+
+    return by_source(products.select("source", "url").distinct(), sources, settings, transport, page, "url string, html string, modified string").dropDuplicates(["url"])
+
 
-    names = spark.createDataFrame([(s.name,) for s in sources], "source string").repartition(max(1, len(sources)))
-    return names.mapInPandas(run, "source string, pos long, url string, base_url string, content_type string, body string")
+def capture_sitemaps(spark: SparkSession, sources: list[Source], settings: Settings, transport: Callable[[], Transport]) -> DataFrame:
+    """(source, url, xml) of the sources' product sitemaps."""
+    return by_source(_names(spark, sources), sources, settings, transport, lambda fetcher, s, row: ((s.name, *x) for x in fetcher.sitemaps(s.base_url)), "source string, url string, xml string")

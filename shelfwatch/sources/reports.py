@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwatch.functions import urls
 
@@ -34,16 +38,23 @@ def write(reports: DataFrame, folder: str) -> None:
         out.close()
 
 
-def pretty_json(body: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def pretty_json(bodies: pd.Series) -> pd.Series:
     """A JSON body, indented; null if it is none."""
 
-    @F.udf("string")
     def shown(s):
-        import json
-
         try:
             return json.dumps(json.loads(s), indent=2, ensure_ascii=True)
         except (TypeError, ValueError):
             return None
 
-    return shown(body)
+    return bodies.map(shown)
+
+
+def assets(responses: DataFrame, run_id: str, raw: bool, pretty: bool) -> DataFrame:
+    """(file_name, text) of captured JSON responses (source, pos, body) as they came or indented, a file for each page; what is no JSON has no indented file."""
+    page = F.concat(F.lit("page"), F.col("pos").cast("string"))
+    named = lambda kind: F.concat(F.concat_ws("-", F.lit(run_id), urls.slug(F.col("source"))), F.lit(f".products.{kind}."), page, F.lit(".json"))
+    kinds = [F.struct(named(k).alias("file_name"), text.alias("text")) for k, wanted, text in (("raw", raw, F.col("body")), ("pretty", pretty, pretty_json("body"))) if wanted]
+    rows = responses.where(F.try_parse_json("body").isNotNull()).select(F.explode(F.array(*kinds)).alias("f"))
+    return rows.select("f.file_name", "f.text").where("text is not null")

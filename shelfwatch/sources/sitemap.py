@@ -9,6 +9,7 @@ from shelfwatch.functions import urls
 
 MOST_FETCHES = 8
 CHILD = "store-products-sitemap"
+ROOTS = ("store-products-sitemap.xml", "sitemap.xml")
 
 
 def _plain(xml: Column) -> Column:
@@ -44,7 +45,7 @@ def product_lastmods(captured: DataFrame, base_url: str, include=(), exclude=())
 
     captured is (url, xml) of all fetched files. The walk over index files is a driver loop of at most eight files.
     """
-    for root in ("store-products-sitemap.xml", "sitemap.xml"):
+    for root in ROOTS:
         queue, seen = [f"{base_url.rstrip('/')}/{root}"], []
         while queue and len(seen) < MOST_FETCHES:
             now = queue.pop(0)

@@ -84,13 +84,23 @@ def test_sitemap(spark):
     assert sitemap.product_lastmods(files.where("url like '%bad'"), "https://h").count() == 0
 
 
-def test_jsonld():
+def test_jsonld(spark):
     block = lambda x: f'<script type="application/ld+json">{x if isinstance(x, str) else json.dumps(x)}</script>'
-    p = {"@type": ["Thing", "PRODUCT"], "name": "N", "brand": {"name": "B"}, "sku": 5, "offers": [[], {"price": 3, "availability": "in"}]}
-    assert jsonld.described(block("broken") + block({"@type": "WebPage", "mainEntity": p})) == "Name: N | Brand: B | SKU: 5 | Price: 3 | Availability: in"
-    assert jsonld.described(block(json.dumps({"@graph": ["x", p]}) + " junk")).startswith("Name: N")
-    assert jsonld.described(block({"@type": "Product"}) + block([3, {"@type": "ProductGroup", "name": "G"}])) == "Name: G"
-    assert jsonld.described("<p>none</p>") == ""
+    p = {"@type": ["Thing", "PRODUCT"], "name": "N", "brand": {"name": "B"}, "sku": 5, "offers": [[], {"price": 3, "availability": "in"}, {"price": 4}]}
+    want = {
+        block("broken") + block({"@type": "WebPage", "mainEntity": p}): "Name: N | Brand: B | SKU: 5 | Price: 3 | Availability: in",
+        block(json.dumps({"@graph": ["x", {"mainEntityOfPage": p}]}) + " junk"): "Name: N | Brand: B | SKU: 5 | Price: 3 | Availability: in",
+        block({"@type": "Product"}) + block([3, {"@type": "ProductGroup", "name": "G"}]): "Name: G",
+        block({"@type": "Product", "brand": "Plain", "offers": {"priceCurrency": "EUR"}, "description": " d "}): "Description: d | Brand: Plain",
+        "<p>none</p>": "",
+    }
+    got = spark.createDataFrame([(k,) for k in want], "h string").select(jsonld.jsonld_text(F.col("h")).alias("x")).collect()
+    assert [r.x for r in got] == list(want.values())
+
+
+def test_links_in():
+    page = "<!-- <a href='/no'>no</a> --><A class=x HREF=/a title='a > b'>One<b> two </b>&amp; 3</a> <a name=n>none</a><a href='/lost'>lost <a href=\"/b?x=1&amp;y=2\"><script>var a = '<a href=/s>';</script></a><a href='/open'>open"
+    assert catalog.links_in(page) == [{"href": "/a", "text": "One two & 3"}, {"href": "/b?x=1&y=2", "text": ""}]
 
 
 def test_page_text(spark):
@@ -122,4 +132,17 @@ def test_pages():
     R = fetch.Response
     f, seen, _ = fetcher({"https://h/p?page=1": [R(200, "a")], "https://h/p?page=2": [R(200, "")], "https://h/p?page=3": [R(200, "c")]})
     s = config.Source("S", "https://h", products_path="/p", pagination=config.Pages(max_pages=3))
+    assert [n for n, _, _ in f.pages(s, bool)] == [1, 2] and "https://h/p?page=3" not in seen
+
+
+def test_pages_stop_at_the_limit_and_at_empty_ones():
+    R = fetch.Response
+    two, link = json.dumps({"items": [{"a": 1}, {"a": 2}]}), "<a href='/products/a'>A</a>"
+    s = config.Source("S", "https://h", products_path="/p", pagination=config.Pages(max_pages=9), max_products=3)
+    f, seen, _ = fetcher({f"https://h/p?page={n}": [R(200, two)] for n in range(1, 9)})
     assert [n for n, _, _ in f.pages(s)] == [1, 2] and "https://h/p?page=3" not in seen
+    f, _, _ = fetcher({"https://h/p?page=1": [R(200, link)], "https://h/p?page=2": [R(200, "<p>none</p>")], "https://h/p?page=3": [R(200, link)]})
+    assert [n for n, _, _ in f.pages(s)] == [1, 2]
+    f, _, _ = fetcher({"https://h/p?page=1": [R(200, "[]")], "https://h/p?page=3": [R(200, two)]})
+    more = config.Source("S", "https://h", products_path="/p", pagination=config.Pages(max_pages=3, stop_on_empty=False))
+    assert [n for n, _, _ in f.pages(more)] == [1, 3]

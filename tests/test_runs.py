@@ -106,12 +106,37 @@ def test_failed_names(spark):
 
 def test_evaluator(spark):
     r = {"candidates": [{"content": {"parts": [{"text": " a "}, {"text": ""}, {"text": "b"}]}, "groundingMetadata": {"webSearchQueries": ["q"], "groundingChunks": [{"web": {"uri": "u"}}, {}], "groundingSupports": [{"segment": {"startIndex": 0, "text": "t"}, "groundingChunkIndices": [0, "x"]}, {}]}}], "usageMetadata": {"promptTokenCount": 3}}
-    assert evaluator.response_text_of(r) == "a\nb" and evaluator.usage_of(r) == {"prompt_token_count": 3} and evaluator.total_tokens_of({"totalTokens": 9}) == 9
-    assert evaluator.grounding_of(r) == {"webSearchQueries": ["q"], "groundingChunks": [{"web": {"uri": "u", "title": ""}}], "groundingSupports": [{"segment": {"startIndex": 0, "text": "t"}, "groundingChunkIndices": [0]}]}
+    v = F.try_parse_json("r")
+    got = spark.createDataFrame([(json.dumps(r), '{"totalTokens": 9}')], "r string, n string").select(evaluator.text_of(v).alias("text"), evaluator.usage_of(v).alias("usage"), evaluator.grounding_of(v).alias("grounding"), evaluator.total_tokens_of(F.try_parse_json("n")).alias("n"), evaluator.read(F.col("r")).alias("both")).first()
+    assert got.text == "a\nb" and got.usage.prompt_token_count == 3 and got.usage.total_token_count is None and got.n == 9
+    grounding = {"webSearchQueries": ["q"], "groundingChunks": [{"web": {"uri": "u", "title": ""}}], "groundingSupports": [{"segment": {"startIndex": 0, "text": "t"}, "groundingChunkIndices": [0]}]}
+    assert json.loads(got.grounding) == grounding
+    assert got.both.grounding == f"## Grounding metadata\n\n```json\n{json.dumps(grounding, indent=2)}\n```\n"
+    odd = [None, "no json", "[]", "{}", '{"text": " top ", "candidates": 3}', '{"candidates": [{"text": " c "}]}', '{"candidates": [{"content": {"parts": "x"}}]}']
+    read = spark.createDataFrame([(x,) for x in odd], "r string").select(evaluator.read(F.col("r")).alias("x")).collect()
+    assert [(x.x.text, x.x.grounding) for x in read] == [("", ""), ("", ""), ("", ""), ("", ""), ("top", ""), ("c", ""), ("", "")]
     got = evaluator.evaluated(spark.createDataFrame([("n", "p")], "name string, prompt string"), evaluator.stub).select(evaluator.read(F.col("response")).alias("x")).first().x
     assert got.text == "Report on 0 products."
 
 
+def test_generation_waits_and_tries_again(spark):
+    import time
+
+    class Service:
+        def generate(self, model, prompt, temperature, search):
+            time.sleep(0.5 if "slow" in prompt else 0)
+            return json.dumps({"text": f"{model} {search}"})
+
+        def count_tokens(self, model, prompt):
+            return len(prompt)
+
+    ask = evaluator.Generation(Service, "m", 0.1, count=True)
+    assert evaluator.asked(ask, "quick", 1) == '{"text": "m True"}' and evaluator.asked(ask, "slow", 2) is None
+    answers = iter([None, "{", '{"candidates": [{"groundingMetadata": {"text": "aside"}}]}', '{"candidates": [{"content": {"parts": [{"text": "x"}]}}]}'])
+    assert "parts" in evaluator.asked(lambda _: next(answers), "", 10)
+    assert evaluator.asked(lambda _: "{}", "", 2) == "{}"
+
+
 @pytest.fixture
 def few_tasks(spark):
     old = spark.conf.get("spark.sql.shuffle.partitions")
@@ -147,6 +172,68 @@ def test_whole_runs(spark, tmp_path, few_tasks):
     assert Run(spark, s, sources, "20240131", store).digest_only() == 1
 
 
+def test_live_run(spark, tmp_path, few_tasks):
+    from shelfwatch.plans import logs
+    from shelfwatch.sources import fetch
+
+    feed = json.dumps({"products": [{"id": 1, "title": "A", "handle": "a", "body_html": "<p>about a</p>"}]})
+    site = {
+        "https://one/products.json": (200, feed, {"content-type": "application/json"}),
+        "https://two/products.json": (200, "<a href='/products/x'>X</a><a href='/products/y'>Y</a>", {"content-type": "text/html"}),
+        "https://two/products/x": (200, "<p>Page of x. Related goods</p>", {"last-modified": "Mon, 29 Jan 2024 00:00:00 GMT"}),
+        "https://two/robots.txt": (200, "User-agent: *\nDisallow: /products/y", {}),
+        "https://two/store-products-sitemap.xml": (200, "<urlset><url><loc>https://two/products/y</loc><lastmod>2024-01-28</lastmod></url></urlset>", {}),
+        "https://bad/products.json": (200, "{broken", {"content-type": "application/json"}),
+    }
+
+    def transport():
+        return lambda url, headers: fetch.Response(*site.get(url, (404, "", {}))) if "User-Agent" not in headers else None
+
+    sources = [config.Source("One", "https://one", platform="shopify", products_headers={"User-Agent": "own"}), config.Source("Two", "https://two", platform="wix", page_text_stop_phrases=("related",)), config.Source("Bad", "https://bad"), config.Source("Denied", "https://denied")]
+    (tmp_path / "r").mkdir()
+    s = config.Settings(reports_dir=str(tmp_path / "r"), language="en", jitter_max_s=0.0, jitter_min_s=0.0, save_prompt=True, save_raw_products_json=True, save_pretty_products_json=True, log_path=str(tmp_path / "logs/run.log"), log_json_max_chars=3)
+    logs.logger(s)
+    deny = spark.createDataFrame([("denied",)], "domain string")
+    store = seen.SeenStore(spark, f"file://{tmp_path}/store")
+    Run(spark, s, sources, "20240130", store, deny=deny).live(transport)
+    files = {p.name: p.read_text() for p in (tmp_path / "r").iterdir()}
+    assert {"20240130-one.md", "20240130-two.md", "20240130-one.prompt.txt", "20240130-z-digest.prompt.txt", "20240130-one.products.raw.page1.json", "20240130-one.products.pretty.page1.json"} <= set(files)
+    assert files["20240130-one.products.raw.page1.json"] == feed and files["20240130-one.products.pretty.page1.json"] == json.dumps(json.loads(feed), indent=2)
+    assert "Page of x." in files["20240130-two.md"] and "Related" not in files["20240130-two.md"] and "20240130-bad.md" not in files
+    assert f"Bad {render.FAILED_SUFFIX}" in files["20240130-z-digest.md"] and "Denied" not in files["20240130-z-digest.md"]
+    log = (tmp_path / "logs/run.log").read_text()
+    assert "Denied is denied" in log and "Bad, page 1 is no JSON: {br..." in log
+    assert "'wix_lastmod': 1" in log and "'http_last_modified': 1" in log
+
+
+def test_one_source_fails_alone(spark, tmp_path, few_tasks, monkeypatch):
+    from shelfwatch.plans import run as plan
+
+    parse = plan.catalog.parse_responses
+
+    def broken(responses, source, limit):
+        out = parse(responses, source, limit)
+        return out.withColumn("name", F.raise_error(F.lit("odd feed")).cast("string")) if source.name == "Bad" else out
+
+    monkeypatch.setattr(plan.catalog, "parse_responses", broken)
+    feed = json.dumps({"products": [{"id": 1, "title": "A", "handle": "a"}]})
+    responses = spark.createDataFrame([(n, 1, f"https://{n}", "application/json", feed) for n in ("Good", "Bad")], "source string, pos long, base_url string, content_type string, body string")
+    (tmp_path / "r").mkdir()
+    sources = [config.Source("Bad", "https://bad"), config.Source("Good", "https://good")]
+    run = Run(spark, config.Settings(reports_dir=str(tmp_path / "r"), language="en"), sources, "20240130", seen.SeenStore(spark, f"file://{tmp_path}/store"))
+    run.full(responses, spark.createDataFrame([], "url string, html string, modified string"), spark.createDataFrame([], "url string, lastmod string, pos int"))
+    assert {p.name for p in (tmp_path / "r").glob("*.md")} >= {"20240130-good.md", "20240130-z-digest.md"}
+    assert f"Bad {render.FAILED_SUFFIX}" in (tmp_path / "r/20240130-z-digest.md").read_text()
+
+
+def test_old_snapshots_go(spark, tmp_path):
+    store = seen.SeenStore(spark, f"file://{tmp_path}/store")
+    row = spark.createDataFrame([("h", "u", "t", "d", "2024-01-01", "", "", "", 0)], ROW)
+    for _ in range(seen.KEPT + 2):
+        store.upsert(row)
+    assert store.read().count() == 1 and len(list((tmp_path / "store").glob("v=*"))) == seen.KEPT
+
+
 def test_arguments():
     a = arguments(["--resume", "--no-save-report", "--http-concurrency", "3", "--run-id", "20240101"])
     assert (a.resume, a.save_report, a.http_concurrency, a.model, a.run_id) == (True, False, 3, None, "20240101")
