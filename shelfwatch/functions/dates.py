@@ -40,6 +40,20 @@ def cascade(published: Column, modified: Column, lastmod: Column, seen: Column)
     return F.struct(F.coalesce(*dates).alias("date"), source.alias("source"))
 
 
+def run_id(ts: Column) -> Column:
+    """A run's name: its day in UTC."""
+    return F.date_format(ts, "yyyyMMdd")
+
+
+def run_day(run: Column) -> Column:
+    return F.to_date(run, "yyyyMMdd")
+
+
+def window_start(day: Column, days: int) -> Column:
+    """The first of so many days up to a day; under one day counts as one."""
+    return F.date_sub(day, max(1, days) - 1)
+
+
 def in_window(day: Column, run_day: Column, days: int) -> Column:
-    """Within so many days up to run_day, both ends included; under one day counts as one."""
-    return day.between(F.date_sub(run_day, max(1, days) - 1), run_day)
+    """Within so many days up to run_day, both ends included."""
+    return day.between(window_start(run_day, days), run_day)

@@ -62,6 +62,17 @@ def batch_prompts(products: DataFrame, keys: list[str], order: list[str], langua
     return body.withColumn("text", F.concat(F.lit(f"{INSTRUCTIONS['batch']}\n{LANGUAGES[language]}\n\nProducts:\n\n"), F.col("text")))
 
 
+def as_items(products: DataFrame) -> DataFrame:
+    """Products (with description) as the items of reports and digests."""
+    return products.select(F.col("source").alias("roaster"), "product_id", "name", "url", "list_price", F.col("list_badge").alias("badge"), "description", text.variant_lines(F.col("variants")).alias("variant_lines"))
+
+
+def as_products(items: DataFrame) -> DataFrame:
+    """Items of reports as products to classify; what reports don't tell is blank."""
+    blank = [F.lit("").alias(c) for c in ("body_html", "shopify_updated_at", "shopify_published_at")]
+    return items.select(F.col("roaster").alias("source"), "product_id", "name", "url", "list_price", F.col("badge").alias("list_badge"), "description", *blank)
+
+
 def report(name: Column, generated: Column, run_id: str, note: Column, body: Column, grounding: Column, items: Column, title: str = "Catalog Report") -> Column:
     head = F.concat(F.lit(f"# {title}\n\nRoaster: "), name, F.lit("\nGenerated: "), generated, F.lit(f"\nRun: {run_id}\n\n## Recommendations\n\n"))
     return F.concat(head, F.concat_ws("\n", *(F.nullif(c, F.lit("")) for c in (note, body, grounding, items))))

@@ -28,6 +28,12 @@ def merged(store: DataFrame, batch: DataFrame, order: str = "pos") -> DataFrame:
     )
 
 
+def filled(snapshot: DataFrame) -> DataFrame:
+    """The store's columns; those that a snapshot lacks, and nulls, are blank."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    return snapshot.select(*(F.coalesce(F.col(n), F.lit("")).alias(n) if n in snapshot.columns else F.lit("").alias(n) for n in names))
+
+
 class SeenStore:
     """Snapshots v=N below a path that Spark reads, and the number of the current one. A snapshot is added whole, so a failed write leaves the last one valid; the last KEPT stay."""
 
@@ -48,9 +54,7 @@ class SeenStore:
         v = self.version()
         if not v:
             return self.spark.createDataFrame([], SCHEMA)
-        df = self.spark.read.parquet(f"{self.path}/v={v}")
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        return df.select(*(F.coalesce(F.col(n), F.lit("")).alias(n) if n in df.columns else F.lit("").alias(n) for n in names))
+        return filled(self.spark.read.parquet(f"{self.path}/v={v}"))
 
     def upsert(self, batch: DataFrame, order: str = "pos") -> int:
         v = self.version() + 1

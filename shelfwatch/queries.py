@@ -89,9 +89,10 @@ def classify_read_only(spark, sf):
     return out.select("event_id", "day", "undated", "is_new")
 
 
-@query(f"SELECT {KEY} AS hash, min(ts) AS first_seen_at, arg_min(event_id, (ts, event_id)) AS first_event, max(ts) AS last_seen_at, count(*) AS n FROM events GROUP BY ALL")
+@query(f"SELECT {KEY} AS hash, min(ts) AS first_seen_at, arg_min(event_id, (ts, event_id)) AS first_event FROM events GROUP BY ALL")
 def first_seen_by_key(spark, sf):
-    return observations(spark, sf).groupBy("hash").agg(F.min("ts").alias("first_seen_at"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.max("ts").alias("last_seen_at"), F.count(F.lit(1)).alias("n"))
+    first = relational.first_wins(observations(spark, sf), ["hash"], ["ts", "event_id"])
+    return first.select("hash", F.col("ts").alias("first_seen_at"), F.col("event_id").alias("first_event"))
 
 
 def seen_rows(df: DataFrame) -> DataFrame:
@@ -120,10 +121,10 @@ def last_wins_description(spark, sf):
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY)")
 def new_items_semi(spark, sf):
-    orders = table(spark, sf, "orders")
+    orders = table(spark, sf, "orders").withColumn("url", F.col("o_custkey").cast("string"))
     last = orders.agg(F.max("o_orderdate").alias("last"))
-    recent = orders.join(F.broadcast(last), F.col("o_orderdate") >= F.col("last") - F.expr("INTERVAL 7 DAY")).select("o_custkey").distinct()
-    return orders.select("o_orderkey", "o_custkey").join(recent, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+    classified = orders.join(F.broadcast(last)).select("url", (F.col("o_orderdate") >= F.col("last") - F.expr("INTERVAL 7 DAY")).alias("is_new"))
+    return classify.new_items(orders, classified).select("o_orderkey", "o_custkey")
 
 
 HOST = r"lower(regexp_extract(url, '^(([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?', 4))"
@@ -280,16 +281,20 @@ def link_products(spark, sf):
     return got.select("pos", "item", "url", "product_id", "name")
 
 
-def sql_chain(column: str, steps) -> str:
-    for pattern, to in steps:
-        column = f"regexp_replace({column}, '{pattern}', {to}, 'g')"
-    return column
+def sql_list(names) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-VISIBLE = sql_chain("html", [(r"(?is)<!--.*?-->", "' '"), *((rf"(?is)<{t}\b.*?</{t}\s*>", "' '") for t in text.SKIPPED_TAGS), (r"\s+", "' '"), (r"(?i)<(br|p|li|div|section)\b[^>]*>", "chr(10)"), ("<[^>]*>", "' '"), *((p.replace("'", "''"), f"'{c}'" if c != "'" else "''''") for p, c in text.ENTITIES), (r"[ \t]+", "' '"), (r" ?\n ?", "chr(10)"), (r"\n+", "chr(10)"), (r"^\s+|\s+$", "''")])
+# Told apart from the engine's recipe: a page is cut at each '<', and a running count says whether a piece lies in a skipped element.
+LINES = rf"""piece AS (SELECT page_id, unnest(str_split(html, '<')) AS part, generate_subscripts(str_split(html, '<'), 1) AS i FROM pages),
+cut AS (SELECT page_id, i, CASE WHEN i = 1 THEN '' ELSE lower(regexp_extract(part, '^/?[A-Za-z][A-Za-z0-9]*')) END AS tag, regexp_replace(CASE WHEN i = 1 THEN part ELSE substr(part, instr(part, '>') + 1) END, '\s+', ' ', 'g') AS t FROM piece),
+deep AS (SELECT *, sum(CASE WHEN tag IN {sql_list(text.SKIPPED_TAGS)} THEN 1 WHEN tag IN {sql_list("/" + t for t in text.SKIPPED_TAGS)} THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM cut),
+flat AS (SELECT page_id, string_agg(CASE WHEN depth > 0 THEN ' ' WHEN tag IN {sql_list(text.LINE_TAGS)} THEN chr(10) || t ELSE ' ' || t END, '' ORDER BY i) AS t FROM deep GROUP BY page_id),
+plain AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM flat),
+lines AS (SELECT page_id, list_filter(list_transform(str_split(t, chr(10)), lambda l: trim(regexp_replace(l, ' +', ' ', 'g'))), lambda l: l <> '') AS ls FROM plain)"""
 
 
-@query(f"SELECT page_id, {VISIBLE} AS text FROM pages")
+@query(f"WITH {LINES} SELECT page_id, array_to_string(ls, chr(10)) AS text FROM lines")
 def html_visible_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.visible_lines(F.col("html")).alias("text"))
 
@@ -323,13 +328,10 @@ def boilerplate_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(text.without_boilerplate(F.split("text", "\n"), PHRASES), "\n").alias("text"))
 
 
-@query(r"""WITH c AS (SELECT doc_id, text, list_min(list_filter([instr(lower(text), ' est '), instr(lower(text), ' the ')], lambda x: x > 0)) AS i FROM documents)
+@query(r"""WITH c AS (SELECT doc_id, text, list_min(list_filter([instr(lower(text), 'est'), instr(lower(text), 'the')], lambda x: x > 0)) AS i FROM documents)
 SELECT doc_id, CASE WHEN i IS NULL THEN text ELSE regexp_replace(left(text, i - 1), '\s+$', '') END AS text FROM c""")
 def trim_at_phrase(spark, sf):
-    d = table(spark, sf, "documents")
-    low = F.lower("text")
-    first = F.array_min(F.filter(F.array(*(F.locate(p, low) for p in STOPS)), lambda x: x > 0))
-    return d.select("doc_id", F.when(first.isNull(), F.col("text")).otherwise(F.regexp_replace(F.col("text").substr(F.lit(1), first - 1), r"(?U)\s+$", "")).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", text.trimmed_at(F.col("text"), STOPS).alias("text"))
 
 
 @query("SELECT doc_id, left(text, 40) AS short, text AS whole, left(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\p{C}', '', 'g'), 200) AS field FROM documents")
@@ -424,9 +426,12 @@ def seen_hash_documents(spark, sf):
     return d.select("doc_id", seen_hash(F.col("source"), F.col("lang"), F.col("text")).alias("hash"))
 
 
-@query(f"WITH v AS (SELECT page_id, {VISIBLE} AS t FROM pages), f AS (SELECT page_id, array_to_string(list_filter(str_split(t, chr(10)), lambda l: NOT (" + " OR ".join(f"contains(lower(l), '{p}')" for p in text.BOILERPLATE) + f""")), ' ') AS t FROM v),
+@query(f"WITH {LINES}, f AS (SELECT page_id, array_to_string(list_filter(ls, lambda l: NOT (" + " OR ".join(f"contains(lower(l), '{p}')" for p in text.BOILERPLATE) + f""")), ' ') AS t FROM lines),
 n AS (SELECT page_id, regexp_replace(regexp_replace(trim(regexp_replace(t, '\\s+', ' ', 'g')), '\\p{{C}}', '', 'g'), '{text.EMAIL}', '[redacted email]', 'g') AS t FROM f),
 p AS (SELECT page_id, regexp_split_to_array(t, '{PHONE_SQL}') AS b, regexp_extract_all(t, '{PHONE_SQL}') AS m FROM n)
 SELECT page_id, array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || CASE WHEN i > len(m) THEN '' WHEN length(regexp_replace(m[i], '[^0-9]', '', 'g')) >= 10 THEN '[redacted phone]' ELSE m[i] END), '') AS text FROM p""")
 def sanitized_page(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.sanitized(F.col("html")).alias("text"))
+
+
+from shelfwatch import plan_queries  # noqa: E402, F401  registers further queries

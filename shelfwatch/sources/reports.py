@@ -19,11 +19,16 @@ def file_name(run_id: str, name: Column, kind: str | None = None, ext: str = "md
     return F.concat_ws(".", stem, *([F.lit(kind)] if kind else []), F.lit(ext))
 
 
+def readable(files: DataFrame, run_id: str) -> DataFrame:
+    """(file_name, text) of a run's reports among files (file_name, value), without digests; blank ones are left out."""
+    rows = files.select("file_name", F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("text"))
+    return rows.where(F.col("file_name").startswith(f"{run_id}-") & ~F.col("file_name").isin([f"{run_id}-{d}.md" for d in DIGESTS]) & (F.col("text") != ""))
+
+
 def scan(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
-    """(file_name, text) of a run's reports without digests; blank ones are left out."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", f"{run_id}-*.md").text(folder)
-    rows = rows.select(F.col("_metadata.file_name").alias("file_name"), F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("text"))
-    return rows.where(~F.col("file_name").isin([f"{run_id}-{d}.md" for d in DIGESTS]) & (F.col("text") != ""))
+    """The readable() reports of a folder."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"{run_id}-*.md").text(folder)
+    return readable(files.select(F.col("_metadata.file_name").alias("file_name"), "value"), run_id)
 
 
 def write(reports: DataFrame, folder: str) -> None:
