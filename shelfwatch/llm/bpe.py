@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from shelfwatch.llm.common import batch_of, groups_of, keyed_text
 
 KEPT_PIECES = 900_000
+KEPT_BYTES = 32 << 20
 LONG_TEXT = 2_000_000
 RUN = 32_000
 
@@ -101,6 +102,7 @@ class BytePairCodec:
         self.cut = regex.compile(pattern)
         self.queue = RankQueue(self.size)
         self.kept: dict[str, bytes] = {}
+        self.kept_bytes = 0
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, packed as little-endian unsigned 32-bit integers."""
@@ -166,11 +168,13 @@ class BytePairCodec:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that aren't kept yet."""
-        if len(self.kept) > KEPT_PIECES:
+        if len(self.kept) > KEPT_PIECES or self.kept_bytes > KEPT_BYTES:
             self.kept.clear()
+            self.kept_bytes = 0
         new, ranks, kept = [], self.ranks, self.kept
         for p in pieces.difference(kept):
             b = p.encode()
+            self.kept_bytes += len(b)
             if (r := ranks.get(b)) is not None:
                 kept[p] = r.to_bytes(4, "little")
             else:

@@ -14,14 +14,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import batch_of, groups_of, keyed_text
+from shelfwatch.llm.common import batch_of, bound_batches, groups_of, keyed_text
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -103,20 +105,17 @@ class Novelty:
         return self.marginal(text, start, end) >= least_cost(text[start:end])
 
     def spans(self, text: str, taken: list[Span]) -> list[Span]:
-        """Novel candidates that overlap nothing taken."""
+        """Novel candidates that overlap nothing taken (sorted by start)."""
+        first, reach = [p for p, _, _ in taken], list(accumulate((q for _, _, q in taken), max))
         out, last = [], 0
         for word in SENSITIVE.finditer(text):
-            at = max(last, word.end())
-            for m in CANDIDATE.finditer(text, at, min(len(text), word.end() + REACH + 4096)):
-                a, b = m.span()
-                if a > word.end() + REACH:
-                    break
-                if b == min(len(text), word.end() + REACH + 4096) and b < len(text):  # its end lies further on
-                    m = CANDIDATE.match(text, a)
-                    b = m.end()
-                last = max(last, b)
+            at, until = max(last, word.end()), word.end() + REACH + LEAST_KEY
+            while m := CANDIDATE.search(text, at, until):
+                a, b = CANDIDATE.match(text, m.start()).span()  # its end may lie further on
+                at = last = b
+                before = bisect_left(first, b)
                 for x in starts(text, a, b):
-                    if not any(p < b and x < q for p, _, q in taken) and self.novel(text, x, b):
+                    if not (before and reach[before - 1] > x) and self.novel(text, x, b):
                         out.append((x, 3, b))
                         break
         return out
@@ -159,7 +158,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with every span replaced by the mark, overlapping spans by one; other columns and clean texts stay, null too."""
+    """docs with every span replaced by the mark, overlapping spans by one; other columns and clean texts stay, null too.
+
+    Whole texts are scanned, however long: a batch ends at some bytes, so a very long text is alone in it. Repeated rows stay
+    repeated, an empty table gives none.
+    """
+
+    bound_batches(docs.sparkSession)
 
     def redacted(text: str, novelty: Novelty) -> str:
         _, spans = find_spans(text, novelty)

@@ -56,7 +56,40 @@ def test_stages(spark):
 def test_nulls_and_empty(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], docs.schema)
-    for some in (odd, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, some, d).collect()
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    scores = rules.score_documents(odd, spark.read.parquet(f"{d}/labels.parquet")).collect()
+    good = sum(r.predicted for r in scores)
+    assert len(scores) == 3 and good in (0, 3)
+    for name, stage in corpus_pipeline.STAGES:
+        got = sorted(map(tuple, stage(spark, odd, d).collect()), key=str)
+        if name == "token_ids":
+            none = hashlib.sha256(b"").hexdigest()
+            assert got == sorted([(i, 0, none, none) for i in (None, 1, 1)], key=str)
+        else:
+            assert got == sorted(rows if name != "quality" or good else [], key=str)
+        assert stage(spark, docs.limit(0), d).collect() == []
+
+
+def test_repeated_and_null_ids(spark):
+    """Every stage judges a row by its own text, whatever other rows have its id."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first().text
+    copy, long = "one two three four five six seven eight nine ten", "words of a quite different text, told once and only here, number"
+    texts = [copy, copy, f"{long} 1", f"{long} 1 and {item} then more", "token = 0123456789abcdef0123", f"clean {long}"]
+    rows = [(i, t, "en", "s", len(t)) for i in (None, 7) for t in texts]
+    odd = spark.createDataFrame(rows, docs.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    scores = sorted((r.doc_id, r.score) for r in rules.score_documents(odd.where("doc_id = 7"), spark.read.parquet(f"{d}/labels.parquet")).collect())
+    kept = stages["quality"](spark, odd, d).collect()
+    assert sum(r.doc_id == 7 for r in kept) == sum(s >= 0.7 for _, s in scores) == sum(r.doc_id is None for r in kept)
+    near = sorted(tuple(r)[:2] for r in stages["near_duplicates"](spark, odd, d).collect())
+    assert near == sorted((7, t) for t in texts)  # null ids are the largest: their copies of what 7 has go
+    alone = odd.where("doc_id is null")
+    assert sorted(r.text for r in stages["near_duplicates"](spark, alone, d).collect()) == sorted(texts)
+    clean = [(r.doc_id, r.text) for r in stages["benchmark_passages"](spark, odd, d).collect()]
+    assert sorted(clean, key=str) == sorted([(i, t) for i, t, *_ in rows if item not in t], key=str)
+    masks = [(r.doc_id, r.text) for r in stages["secret_scan"](spark, odd, d).collect()]
+    assert sorted(masks, key=str) == sorted([(i, masked(t)) for i, t, *_ in rows], key=str)
+    assert len(stages["token_ids"](spark, odd, d).collect()) == len(rows)
