@@ -10,11 +10,12 @@ recall is the average over that number.
 
 Nothing lists the pairs of a group. In every node each class is first compared with the node's pivot, a class that
 the node draws: a group of thousands of near copies hangs together after that, for it has other pivots in other
-nodes. A node over NODE classes whose classes all hang together ends, else it branches on, down to LAST_DEPTH. Then
-the classes of a leaf that don't hang together yet are compared exhaustively, by signature and what is left on the
-full sets; what is still large there is cut into blocks, in which the classes outside the pivot's component meet all.
-A block gives no more links than connect it. Components are found by min-label propagation with pointer jumping over
-the links in the shared folder.
+nodes. FIRST_PIVOTS of its pivots come first, the others only where a class doesn't hang together with them yet. A node
+over NODE classes whose classes all hang together ends, else it branches on, down to LAST_DEPTH. Then the classes of
+a leaf that don't hang together yet are compared exhaustively, by signature and what is left on the full sets; what
+is still large at LAST_DEPTH is cut into blocks, in which the classes outside the pivot's component meet all. A block gives
+no more links than connect it. Components are found by min-label propagation with pointer jumping over the links in
+the shared folder; further links are taken between components.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from __future__ import annotations
 import bisect
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ FIRST_DEPTH, MOST_DEPTH, LAST_DEPTH = 3, 7, 11
 SECOND_BRANCH = 4  # one node in so many picks a second coordinate
 RECALL = 0.9999  # of a pair that is similar enough, in nodes down to MOST_DEPTH
 NO_PARTNER = 1e-5  # the chance that a pair of just the similarity sought shares none of the probes
+FIRST_PIVOTS = 4  # of each class, before the others are asked for
 SALT = 512  # a pivot's set is read once for about so many comparisons
 BLOCK_BYTES = 64 << 20
 KEPT_WORDS = 500_000
@@ -214,9 +215,12 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), least.alias("pivot")).where("size > 1").withColumn("pivot", F.col("pivot").bitwiseXOR(F.col("path")))
 
 
-def star(rows: DataFrame) -> DataFrame:
-    """(a, b, salt): each class b with its node's pivot a, once; salt deals a large node's comparisons to several groups."""
+def star(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b, salt): each class b with the pivots a of its nodes, or `most` of these, once; salt deals a pivot's comparisons to several groups. The least pivots come first, as many classes share them."""
     pairs = rows.where("cid <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cid").alias("b")).agg(F.max("size").alias("size"))
+    if most:
+        some = pairs.groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct("a", "size"))), 1, most).alias("pivots"))
+        pairs = some.select("b", F.inline("pivots"))
     return pairs.select("a", "b", F.pmod(F.xxhash64("b"), 1 + F.floor(F.col("size") / SALT)).alias("salt"))
 
 
@@ -284,6 +288,24 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
             return labels
 
 
+def relabelled(ws: Workspace, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels after further links, which are first taken between labels: what hangs together already counts as one class."""
+    if labels is None:
+        return components(ws, links)
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        name = labels.select(F.col("cid").alias(end), F.col("label").alias("name"))
+        ends = ends.join(name, end, "left").withColumn(end, F.coalesce("name", end)).drop("name")
+    ends = ws.save(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ends")
+    if ends.isEmpty():
+        return labels
+    before = ws.save(labels, "before")  # components() writes labels of its own
+    top = components(ws, ends)
+    moved = before.join(top.select(F.col("cid").alias("label"), F.col("label").alias("top")), "label", "left").select("cid", F.coalesce("top", "label").alias("label"))
+    # A class that only now has a link has no row yet.
+    return ws.save(moved.unionByName(top.join(before.select("cid"), "cid", "left_anti").select("cid", "label")), "relabelled")
+
+
 def labelled_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """rows and the label of each class, itself where it has none."""
     if labels is None:
@@ -393,11 +415,10 @@ def links_of(ws: Workspace, docs: DataFrame, classes: DataFrame, k: int, percent
     similarity = percent / 100
     some = ws.save(with_partners(classes, similarity), "some")
     rows, depth, leaf = ws.save(first_rows(some, trees_for(recall, similarity)), "rows"), FIRST_DEPTH, None
-    links: list[DataFrame] = []
+    labels = None
 
     def connect(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        links.append(ws.save(confirmed(pairs, sets, percent), f"links{len(links)}"))
-        return components(ws, reduce(DataFrame.unionByName, links))
+        return relabelled(ws, labels, ws.save(confirmed(pairs, sets, percent), "links"))
 
     while True:
         nodes = ws.save(nodes_of(rows), "nodes")
@@ -415,11 +436,14 @@ def links_of(ws: Workspace, docs: DataFrame, classes: DataFrame, k: int, percent
         rows, depth = ws.save(next_rows(large.join(some.select("cid", "sig"), "cid"), levels), "rows"), depth + levels
     ws.drop("rows", "nodes")
     sets = ws.save(full_sets(docs, some, leaf.select("cid"), k), "sets")
-    labels = connect(star(leaf), sets)
-    links.append(ws.save(other_links(ws, leaf, labels, some, sets, percent), "other_links"))
-    if not links[-1].isEmpty():
-        labels = components(ws, reduce(DataFrame.unionByName, links))
-    ws.drop("blocks", "chosen", "sets", "some", *(f"{x}{d}" for x in ("held", "large") for d in range(LAST_DEPTH + 1)))
+    first = ws.save(star(leaf, FIRST_PIVOTS), "star")
+    labels = connect(first, sets)
+    # The other pivots, for classes that don't hang together with them yet.
+    of_pivot = labels.select(F.col("cid").alias("pivot"), F.col("label").alias("pivot_label"))
+    rest = labelled_rows(leaf, labels).join(of_pivot, "pivot", "left").where(F.col("label") != F.coalesce("pivot_label", "pivot"))
+    labels = connect(star(rest).join(first.select("a", "b"), ["a", "b"], "left_anti"), sets)
+    labels = relabelled(ws, labels, ws.save(other_links(ws, leaf, labels, some, sets, percent), "other_links"))
+    ws.drop("blocks", "chosen", "sets", "some", "star", "links", "ends", "before", *(f"{x}{d}" for x in ("held", "large") for d in range(LAST_DEPTH + 1)))
     return labels
 
 
