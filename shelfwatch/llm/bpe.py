@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from shelfwatch.llm.common import batch_of, groups_of, keyed_text
 
-KEPT_PIECES = 900_000
+KEPT_PIECES = 400_000
 KEPT_BYTES = 32 << 20
 LONG_TEXT = 2_000_000
 RUN = 32_000
@@ -233,7 +233,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
         c = codec(ranks_path, pattern)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for a, b, texts in groups_of(batch, 1):
+            for a, b, texts in groups_of(batch, 1, 1_000_000):
                 n, h, d, kept = [], [], [], []
                 if len(texts) == 1 and len(texts[0]) > LONG_TEXT:
                     count, hi, hd, all_ids = 0, hashlib.sha256(), hashlib.sha256(), []

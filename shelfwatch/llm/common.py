@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -40,7 +40,7 @@ KEYS, PLACES, MOST_WALKS = 6, 2, 48
 RUN_BITS = 22
 PAD, GAP = -2, -3
 SEED = 11
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 OUTPUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32()), ("item_words", pa.int32()), ("start_word", pa.int64()), ("text_hash", pa.int64())])
 SCHEMA = "doc_id long, item_id long, edits int, item_words int, start_word long, text_hash long"
@@ -363,7 +363,7 @@ def searcher(sent: Broadcast, max_edit: float):
         sieve = Sieve(items, max_edit, walks=walks)
         for batch in batches:
             ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for a, b, texts in groups_of(batch, 1, 2_000_000):
+            for a, b, texts in groups_of(batch, 1, 1_000_000):
                 if found := sieve.find(texts):
                     yield batch_of(OUTPUT, zip(*((ids[a + d], *rest, hashes[a + d]) for d, *rest in found), strict=True))
 

@@ -41,7 +41,7 @@ NO_PARTNER = 1e-5  # the chance that a pair of just the similarity sought shares
 FIRST_PIVOTS = 4  # of each class, before the others are asked for
 SALT = 512  # a pivot's set is read once for about so many comparisons
 BLOCK_BYTES = 64 << 20
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 FEATURES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
 ROWS = pa.schema([("path", pa.int64()), ("cid", pa.int64())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -107,7 +107,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
         words = WordHashes()
         for batch in batches:
             ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for a, b, texts in groups_of(batch, 1, 2_000_000):
+            for a, b, texts in groups_of(batch, 1, 1_000_000):
                 sets = [shingles(t, k, words) for t in texts]
                 some = [s for s in sets if len(s)]
                 sig = iter(signatures(some) if some else ())
