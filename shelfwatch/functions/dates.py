@@ -34,10 +34,10 @@ def lastmod_date(s: Column) -> Column:
 def cascade(published: Column, modified: Column, lastmod: Column, seen: Column) -> Column:
     """struct(date, source) of the first that can be read; date null and source unknown if none can."""
     dates = (iso_date(published), http_date(modified), lastmod_date(lastmod), iso_date(seen))
-    source = F.lit("unknown")
-    for d, name in reversed(list(zip(dates, SOURCES, strict=True))):
-        source = F.when(d.isNotNull(), name).otherwise(source)
-    return F.struct(F.coalesce(*dates).alias("date"), source.alias("source"))
+    # Each date is read once, for both the day and its source.
+    told = F.array(*(F.struct(d.alias("date"), F.lit(name).alias("source")) for d, name in zip(dates, SOURCES, strict=True)))
+    first = F.get(F.filter(told, lambda x: x["date"].isNotNull()), F.lit(0))
+    return F.coalesce(first, F.struct(F.lit(None).cast("date").alias("date"), F.lit("unknown").alias("source")))
 
 
 def run_id(ts: Column) -> Column:
