@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwatch.llm import bpe, decontaminate, hamming, idfile, merkle, neardup, rules, secrets, sharding, token_counts, warc
+from shelfwatch.llm import bpe, decontaminate, hamming, idfile, merkle, mixing, neardup, rules, secrets, sharding, token_counts, warc
 from shelfwatch.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op11_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_benchmark_passages": op2_benchmark_passages,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rule_quality": op9_rule_quality,
     "op10_secret_spans": op10_secret_spans,
     "op11_merkle_proofs": op11_merkle_proofs,
+    "op12_source_mix": op12_source_mix,
 }
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
