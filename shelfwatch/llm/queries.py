@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwatch.llm import bpe, decontaminate, hamming, idfile, merkle, mixing, neardup, rules, secrets, sharding, token_counts, warc
+from shelfwatch.llm import bpe, decontaminate, hamming, idfile, merkle, mixing, neardup, rules, secrets, sharding, token_counts, warc, whitening
 from shelfwatch.llm.common import table
 
 
@@ -70,6 +70,10 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_benchmark_passages": op2_benchmark_passages,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_spans": op10_secret_spans,
     "op11_merkle_proofs": op11_merkle_proofs,
     "op12_source_mix": op12_source_mix,
+    "op13_whitened_embeddings": op13_whitened_embeddings,
 }
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
