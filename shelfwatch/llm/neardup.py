@@ -224,10 +224,15 @@ def star(rows: DataFrame, most: int | None = None) -> DataFrame:
     return pairs.select("a", "b", F.pmod(F.xxhash64("b"), 1 + F.floor(F.col("size") / SALT)).alias("salt"))
 
 
+def texts_of(docs: DataFrame, classes: DataFrame, cids: DataFrame) -> DataFrame:
+    """(want, text) of the classes in cids, by the id and the text's hash of a document of each: an id that many texts share, or none, finds its own text only."""
+    wanted = cids.distinct().join(classes.select("cid", "rep", "rep_hash"), "cid")
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"]) & (text_hash(docs["text"]) == wanted["rep_hash"])).select(F.col("cid").alias("want"), "text")
+
+
 def full_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int) -> DataFrame:
     """(cid, shingles) of the classes in cids, made again from one document each."""
-    wanted = cids.distinct().join(classes.select("cid", "rep"), "cid").select(F.col("cid").alias("want"), "rep")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("want", "text")
+    texts = texts_of(docs, classes, cids)
     made = pa.schema([("cid", pa.int64()), ("shingles", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,6 +415,13 @@ def other_links(ws: Workspace, leaf: DataFrame, labels: DataFrame, classes: Data
     return whole.mapInArrow(compare, "a long, b long").distinct()
 
 
+def classes_of(feats: DataFrame) -> DataFrame:
+    """(cid, rep, rep_hash, n, sig) of features: each set once, with the smallest doc_id that has it and that row's text_hash; rep is null where no row of the set has an id."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    held = feats.where("cid is not null").groupBy("cid").agg(least.alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    return held.select("cid", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "n", "sig")
+
+
 def links_of(ws: Workspace, docs: DataFrame, classes: DataFrame, k: int, percent: int, recall: float) -> DataFrame:
     """(cid, label) of the classes that are linked: pivots first, from the largest nodes on, then what they leave apart."""
     similarity = percent / 100
@@ -452,7 +464,7 @@ def decisions(docs: DataFrame, shingle_words: int, percent: int, recall: float,
     ws = Workspace(docs.sparkSession, "neardup")
     docs = keyed_text(docs, id_col, text_col)
     feats = ws.save(features(docs, shingle_words), "features")
-    classes = ws.save(feats.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = ws.save(classes_of(feats), "classes")
     labels = links_of(ws, docs, classes, shingle_words, percent, recall)
     labelled = classes.select("cid", "rep").join(labels, "cid")
     least = labelled.groupBy("label").agg(F.min("rep").alias("least"))

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwatch.llm import neardup
 from shelfwatch.llm.queries import QUERIES
@@ -106,6 +107,24 @@ def test_keep_first_decides_by_row(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([r for r in rows if r not in [(None, text), (7, text)]], key=str)
 
 
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_one_id_on_many_texts(spark, one_id):
+    """Representatives are found by id and text: as many rows as classes, not their square."""
+    n = 4_000
+    docs = spark.range(n).select(F.lit(one_id).cast("long").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit(c), F.col("id").cast("string")) for c in "abcdef")).alias("text"))
+    classes = neardup.classes_of(neardup.features(docs, 4)).cache()
+    assert neardup.texts_of(docs, classes, classes.select("cid")).count() == n
+    some = classes.limit(50).select("cid")
+    assert neardup.full_sets(docs, classes, some, 4).count() == 50
+    rows = [(one_id, f"{c} x{i} y{i} z{i} v{i} u{i} t{i} s{i} r{i} q{i} p{i} o{i}") for i in range(60) for c in ("first", "other")] + [(3, "x1 y1 z1 v1 u1 t1 s1 r1 q1 p1 o1")]
+    got = neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2, percent=80).collect()
+    by_row, ids = brute([(k, t) for k, (_, t) in enumerate(rows)], 2, 80), {}
+    for k, (_, root) in by_row.items():
+        ids.setdefault(root, []).append(rows[k][0])
+    least = {root: min((i for i in own if i is not None), default=None) for root, own in ids.items()}
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted(((rows[k][0], m, least[root]) for k, (m, root) in by_row.items()), key=repr)
+
+
 def test_recall_is_planned():
     rng = np.random.default_rng(0)
     trees, found = neardup.trees_for(0.99, 0.8), 0
