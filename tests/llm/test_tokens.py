@@ -41,19 +41,37 @@ def test_bpe_equals_library(reference):
         assert c.decode(packed(c.encode(text))) == text.encode()
 
 
-def test_rank_queue_order():
-    q, rnd, held = bpe.RankQueue(50_000), random.Random(1), []
+@pytest.mark.parametrize("typed", [False, True])
+def test_rank_queue_order(typed):
+    q, rnd, held = bpe.RankQueue(50_000, typed), random.Random(1), []
     for _ in range(5000):
         r = rnd.randrange(50_000)
-        q.push(r, rnd.randrange(1000))
+        q.push(r, [rnd.randrange(1000)])
         held.append(r)
     got = []
     while x := q.pop():
         got.append(x[0])
-        assert x[1] == sorted(x[1])
+        assert list(x[1]) == sorted(x[1])
     assert got == sorted(set(held)) and not q.top
 
 
+def test_very_long_pre_tokens(reference):
+    """As the library gives them, in some 25 bytes of memory for each of theirs."""
+    import tracemalloc
+
+    c, rnd = bpe.codec(RANKS, P.PATTERN), random.Random(2)
+    for text in ("".join(rnd.choices("abcdeé", k=400_000)), "a" * 400_001, "ab" * 150_000):
+        ids = c.merge([text.encode()])[0]
+        assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text) and c.decode(ids) == text.encode()
+    assert c.long_queue is not None and not c.long_queue.top
+    piece = "".join(rnd.choices("abcdefgh", k=250_000)).encode()
+    tracemalloc.start()
+    c.merge([piece])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 * len(piece), most
+
+
 def test_long_text_in_runs(reference, monkeypatch):
     monkeypatch.setattr(bpe, "RUN", 50)
     c = bpe.BytePairCodec(bpe.load_ranks(RANKS), P.PATTERN)
