@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nth_below(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
-    """The first rows of each key. The rank limit is applied before the shuffle too, so a hot key sends that many rows a task."""
+def nth_below(df: DataFrame, keys: list[str], order: list, most: int, own: Column | None = None) -> DataFrame:
+    """The first rows of each key, with own no more than it says for a row's key. The rank limit is applied before the shuffle too, so a hot key sends that many rows a task."""
     name = "nth"
     while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(name, nth).where(F.col(name) <= most).drop(name)
+    out = df.withColumn(name, nth).where(F.col(name) <= most)
+    return (out if own is None else out.where(F.col(name) <= own)).drop(name)
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:

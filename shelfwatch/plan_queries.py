@@ -14,7 +14,7 @@ from shelfwatch.functions import dates, text
 from shelfwatch.operators import classify, render, seen
 from shelfwatch.plans import evaluator, run
 from shelfwatch.queries import CANON, observations, query, seen_rows, table
-from shelfwatch.sources import catalog, config, fetch, reports, sitemap
+from shelfwatch.sources import catalog, config, fetch, reports, rules, sitemap
 
 RUN_ID = "20240130"
 BIG = 2**31 - 1
@@ -91,6 +91,49 @@ def source_configs(spark, sf):
     return spark.createDataFrame(rows, "name string, base_url string, max_products int, products_type string, include_tags string, items_path string, params string, patterns string, max_pages int, names string")
 
 
+def customer_entries(spark, sf) -> DataFrame:
+    """A configuration entry for each customer, in the spellings that files use."""
+    k, segment = F.col("c_custkey"), F.lower("c_mktsegment")
+    entry = F.named_struct(
+        *(x for n, v in {
+            "name": F.col("c_name"), "base_url": text_of(" c", k, ".example/shop//?q#f"), "enabled": k % 7 != 0, "max_products": F.when(k % 2 == 0, (k % 4).cast("string")),
+            "products_type": F.when(k % 3 == 0, "JSON").when(k % 3 == 1, "html").otherwise("any"), "json_items_path": F.when(k % 2 == 0, "a/list").otherwise("a.list"),
+            "exclude_title_keywords": F.array(text_of(" ", segment), F.lit("")), "product_link_patterns": F.array(text_of("re:/o/\\d*[", k % 10, "5]$"), F.lit("re:(")),
+            "product_fields": F.struct(F.array(F.lit("none"), F.lit("label")).alias("name_fields")), "product_url_template": F.lit("/o/{id}?x"), "platform": F.col("c_mktsegment"),
+        }.items() for x in (F.lit(n), v))
+    )
+    return table(spark, sf, "customer").select(k.alias("pos"), F.to_json(entry).alias("entry"))
+
+
+@query("""SELECT c_custkey AS pos, c_name AS name, 'https://c' || c_custkey || '.example/shop' AS base_url, lower(c_mktsegment) AS platform, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 4)::INT END AS max_products,
+  CASE c_custkey % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'html' ELSE 'auto' END AS products_type, 'a.list' AS items_path, ' ' || lower(c_mktsegment) AS words, 'none,label' AS names, 'url,product_url' AS urls, 1 AS max_pages
+FROM customer WHERE c_custkey % 7 <> 0""")
+def source_rules(spark, sf):
+    """Configuration entries as a table of sources: one for each customer that is enabled."""
+    r = rules.from_entries(customer_entries(spark, sf)).select("pos", "rule.*")
+    joined = lambda xs: F.array_join(xs, ",")
+    return r.select("pos", "name", "base_url", "platform", "max_products", "products_type", F.array_join("json_items_path", ".").alias("items_path"), joined("exclude_title_keywords").alias("words"), joined(F.col("product_fields.name")).alias("names"), joined(F.col("product_fields.url")).alias("urls"), F.col("pagination.max_pages").alias("max_pages"))
+
+
+@query("""WITH s AS (SELECT c_custkey AS k, c_name AS source, 'https://c' || c_custkey || '.example' AS host, lower(c_mktsegment) AS word, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 4 <> 0 THEN c_custkey % 4 ELSE 3 END AS most FROM customer WHERE c_custkey % 7 <> 0),
+o AS (SELECT s.*, o_orderkey, o_orderkey % 2 AS pos, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority || ' ' || word ELSE o_orderpriority END AS label FROM orders JOIN s ON o_custkey = k),
+r AS (SELECT *, host || '/o/' || o_orderkey AS url, row_number() OVER (PARTITION BY k, pos ORDER BY o_orderkey) - 1 AS item FROM o),
+f AS (SELECT * FROM r WHERE o_orderkey % 4 <> 0 AND (k % 3 <> 1 OR o_orderkey % 10 IN (k % 10, 5)))
+SELECT source, pos, item::INT AS item, label AS name, url, word AS platform FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos, item) AS n FROM f) WHERE n <= most""")
+def products_by_rule(spark, sf):
+    """Feeds and link listings of as many sources as there are customers, two responses each, parsed by their rules in one scan."""
+    key, k = F.col("o_orderkey"), F.col("c_custkey")
+    shown = F.when(key % 4 == 0, text_of(F.col("o_orderpriority"), " ", F.lower("c_mktsegment"))).otherwise(F.col("o_orderpriority"))
+    item = F.struct(shown.alias("label"), F.when(key % 4 == 0, shown).alias("title"), key.alias("id"))
+    link = text_of("<a href='/o/", key, "'>", shown, "</a>")
+    both = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == k)
+    pages = both.groupBy("c_name", k, (key % 2).alias("pos")).agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), item.alias("item"), link.alias("link")))).alias("rows"))
+    feed = F.to_json(F.struct(F.struct(F.transform("rows", lambda x: x["item"]).alias("list")).alias("a")))
+    body = F.when(k % 3 == 1, F.array_join(F.transform("rows", lambda x: x["link"]), "")).otherwise(feed)
+    responses = pages.select(F.col("c_name").alias("source"), "pos", text_of("https://c", k, ".example").alias("base_url"), F.lit("application/json").alias("content_type"), body.alias("body"))
+    return rules.parse(responses, rules.from_entries(customer_entries(spark, sf)), 3).select("source", "pos", "item", "name", "url", "platform")
+
+
 @query("SELECT r_name, CASE r_regionkey % 2 WHEN 0 THEN r_name ELSE 'file' END AS model, r_regionkey AS http_concurrency, r_regionkey % 2 = 1 AS resume, 'zh' AS language FROM region")
 def merged_settings(spark, sf):
     """Settings of a command line over those of a file over defaults, one case for each region."""

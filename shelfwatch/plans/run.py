@@ -20,19 +20,13 @@ from shelfwatch.operators import classify, render, reparse
 from shelfwatch.operators.relational import ordered_union
 from shelfwatch.operators.seen import SeenStore
 from shelfwatch.plans import evaluator, logs
-from shelfwatch.sources import catalog, config, fetch, jsonld, reports, sitemap
+from shelfwatch.sources import config, fetch, jsonld, reports, rules, sitemap
 from shelfwatch.sources.config import Settings, Source
 
 WINDOW_DAYS = 7
 LOG = logging.getLogger("shelfwatch")
 
 
-def products_of(responses: DataFrame, sources: list[Source], limit: int) -> DataFrame:
-    """Products of all sources; responses: (source, pos, base_url, content_type, body)."""
-    parts = [catalog.parse_responses(responses.where(F.col("source") == s.name).drop("source"), s, limit).withColumn("platform", F.lit(s.platform)) for s in sources]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def needs_page() -> Column:
     """Is a product described by its page only? Sources whose feed has the descriptions never look at pages."""
     return (F.col("body_html") == "") & (F.col("platform") != "shopify")
@@ -74,14 +68,15 @@ class Run:
         return self.spark.read.schema(df.schema).parquet(at)
 
     def products(self, responses: DataFrame, wanted: list[Source]) -> DataFrame | None:
-        """Products of the sources, as a table; one whose responses can't be parsed is logged and left out, and the others go on. None if none is left."""
+        """Products of the sources, as a table, in one scan; one whose responses can't be parsed is found by halves, logged and left out, and the others go on. None if none is left."""
         try:
-            return self.saved(products_of(responses, wanted, self.s.max_products_per_source), "products")
+            return self.saved(rules.parse(responses, rules.of(self.spark, wanted), self.s.max_products_per_source), "products")
         except Exception as e:  # noqa: BLE001  whichever source it was, by itself it fails alone
             if len(wanted) == 1:
                 LOG.error("%s failed: %s", wanted[0].name, logs.snippet(str(e), 500))
                 return None
-        parts = [df for s in wanted if (df := self.products(responses, [s])) is not None]
+        half = len(wanted) // 2
+        parts = [df for some in (wanted[:half], wanted[half:]) if (df := self.products(responses, some)) is not None]
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def log_unreadable(self, responses: DataFrame) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import random
 import re
 import time
@@ -22,6 +23,7 @@ from shelfwatch.sources.sitemap import CHILD, MOST_FETCHES, ROOTS
 # Statuses worth another try.
 AGAIN = (429, 500, 502, 503, 504)
 ATTEMPTS = 3
+LOG = logging.getLogger("shelfwatch")
 
 
 @dataclass
@@ -39,18 +41,27 @@ def http(timeout_s: float) -> Transport:
     """GET by the standard library; an answer of any status is one, no answer in time is None."""
 
     def get(url: str, headers: dict[str, str]) -> Response | None:
+        from http.client import HTTPException
         from urllib.error import HTTPError, URLError
         from urllib.request import Request, urlopen
 
         def answer(r) -> Response:
-            return Response(r.status, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), {k.lower(): v for k, v in r.headers.items()})
+            body, told = r.read(), r.headers.get_content_charset() or "utf-8"
+            try:
+                text = body.decode(told, "replace")
+            except LookupError:  # a charset that nobody knows
+                text = body.decode("utf-8", "replace")
+            return Response(r.status, text, {k.lower(): v for k, v in r.headers.items()})
 
         try:
             with urlopen(Request(url, headers=headers), timeout=timeout_s) as r:
                 return answer(r)
         except HTTPError as e:
-            return answer(e)
-        except (URLError, OSError, ValueError):
+            try:
+                return answer(e)
+            except (HTTPException, OSError):
+                return Response(e.code)
+        except (URLError, HTTPException, OSError, ValueError):
             return None
 
     return get
@@ -149,7 +160,7 @@ class Fetcher:
 
 
 def by_source(rows: DataFrame, sources: list[Source], settings: Settings, transport: Callable[[], Transport], fetched: Callable[[Fetcher, Source, Any], Iterator[tuple]], schema: str) -> DataFrame:
-    """What `fetched` gives for each row's source. A source's rows are one task's, for politeness, and no more tasks ask at once than http_concurrency."""
+    """What `fetched` gives for each row's source. A source's rows are one task's, for politeness, and no more tasks ask at once than http_concurrency. A row whose fetching throws gives nothing and is logged by its worker; the others go on."""
     import pandas as pd
 
     by_name, names = {s.name: s for s in sources}, [c.split()[0] for c in schema.split(", ")]
@@ -159,8 +170,14 @@ def by_source(rows: DataFrame, sources: list[Source], settings: Settings, transp
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 s = by_name[row.source]
-                fetcher = fetchers.setdefault(s.name, Fetcher(transport(), settings, s.jitter_multiplier))
-                yield pd.DataFrame(list(fetched(fetcher, s, row)), columns=names)
+                try:
+                    if s.name not in fetchers:
+                        fetchers[s.name] = Fetcher(transport(), settings, s.jitter_multiplier)
+                    found = list(fetched(fetchers[s.name], s, row))
+                except Exception:  # noqa: BLE001  whatever a transport throws, the source fails alone
+                    LOG.exception("fetching of %s failed", s.name)
+                    continue
+                yield pd.DataFrame(found, columns=names)
 
     return rows.repartition(max(1, min(len(sources), settings.http_concurrency)), "source").mapInPandas(run, schema)
 

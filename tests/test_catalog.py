@@ -146,3 +146,50 @@ def test_pages_stop_at_the_limit_and_at_empty_ones():
     f, _, _ = fetcher({"https://h/p?page=1": [R(200, "[]")], "https://h/p?page=3": [R(200, two)]})
     more = config.Source("S", "https://h", products_path="/p", pagination=config.Pages(max_pages=3, stop_on_empty=False))
     assert [n for n, _, _ in f.pages(more)] == [1, 3]
+
+
+def test_a_transport_that_throws(spark):
+    """Its source has no rows, the others have theirs."""
+    from http.client import IncompleteRead
+
+    def transport():
+        def get(url, headers):
+            if "robots" in url:
+                return fetch.Response(404)
+            if "cut" in url:
+                raise IncompleteRead(b"x")
+            if "odd" in url:
+                raise LookupError("unknown encoding: x-odd")
+            return fetch.Response(200, "{}", {})
+
+        return get
+
+    sources = [config.Source(n, f"https://{n}.example") for n in ("fine", "cut", "odd", "good")]
+    settings = config.Settings(jitter_min_s=0.0, jitter_max_s=0.0, http_concurrency=2)
+    assert sorted(r.source for r in fetch.capture(spark, sources, settings, transport).collect()) == ["fine", "good"]
+
+
+def test_http_of_odd_servers():
+    """A charset that nobody knows, a body cut short, an error page: an answer or None, never an exception."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Odd(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(404 if "missing" in self.path else 200)
+            self.send_header("Content-Type", "text/html; charset=x-odd" if "odd" in self.path else "text/html; charset=latin-1")
+            self.send_header("Content-Length", "99" if "cut" in self.path else "2")
+            self.end_headers()
+            self.wfile.write("é".encode() if "odd" in self.path else b"\xe9x")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Odd)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    get, at = fetch.http(5.0), f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert get(f"{at}/odd", {}).body == "é" and get(f"{at}/plain", {}).body == "éx"
+        assert get(f"{at}/cut", {}) is None and get(f"{at}/missing", {}).status == 404 and get(f"{at}/missing-cut", {}).status == 404
+    finally:
+        server.shutdown()

@@ -209,13 +209,12 @@ def test_live_run(spark, tmp_path, few_tasks):
 def test_one_source_fails_alone(spark, tmp_path, few_tasks, monkeypatch):
     from shelfwatch.plans import run as plan
 
-    parse = plan.catalog.parse_responses
+    parse = plan.rules.parse
 
-    def broken(responses, source, limit):
-        out = parse(responses, source, limit)
-        return out.withColumn("name", F.raise_error(F.lit("odd feed")).cast("string")) if source.name == "Bad" else out
+    def broken(responses, asked, limit):
+        return parse(responses, asked, limit).withColumn("name", F.when(F.col("source") == "Bad", F.raise_error(F.lit("odd feed")).cast("string")).otherwise(F.col("name")))
 
-    monkeypatch.setattr(plan.catalog, "parse_responses", broken)
+    monkeypatch.setattr(plan.rules, "parse", broken)
     feed = json.dumps({"products": [{"id": 1, "title": "A", "handle": "a"}]})
     responses = spark.createDataFrame([(n, 1, f"https://{n}", "application/json", feed) for n in ("Good", "Bad")], "source string, pos long, base_url string, content_type string, body string")
     (tmp_path / "r").mkdir()
