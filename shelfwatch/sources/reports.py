@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwatch.functions import urls
+from shelfwatch.sources import named_files
 
 DIGESTS = ("z-digest", "z-new-digest", "z-roaster-digest", "digest", "new-digest", "roaster-digest")
 
@@ -32,15 +33,8 @@ def scan(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
 
 
 def write(reports: DataFrame, folder: str) -> None:
-    """(file_name, text) as files of just these names, replacing earlier ones. Spark's writers name files themselves, so rows pass through the driver one at a time, by the file system that Spark uses."""
-    spark = reports.sparkSession
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.setWriteChecksum(False)  # people edit reports, which a checksum beside them would forbid
-    for r in reports.select("file_name", "text").toLocalIterator(prefetchPartitions=True):
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, r.file_name), True)
-        out.write(bytearray(r.text.encode()))
-        out.close()
+    """(file_name, text) as files of just these names, replacing earlier ones. Executors write them, in a folder that they share with the driver."""
+    named_files.write(reports, folder)
 
 
 @F.pandas_udf(T.StringType())
