@@ -6,6 +6,8 @@ They run the engine's own functions over the driver's tables, as shelfwatch.quer
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -228,6 +230,35 @@ def store_replayed(spark, sf):
     return store.select("hash", "url", "first_seen_at")
 
 
+def shared_folder(spark, name: str) -> str:
+    """A new folder that driver and executors share, gone with the session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="shelfwatch-")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/shelfwatch/{name}-{uuid.uuid4().hex}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return at.toString()
+
+
+@query("""WITH r AS (SELECT concat_ws('|', user_id, event_type) AS hash, ts, event_id, 'u' || event_id AS url, event_type AS title, props AS description,
+  CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS s, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'r' || event_id END AS r FROM events)
+SELECT hash, arg_max(url, (ts, event_id)) AS url, arg_max(title, (ts, event_id)) AS title, arg_max(description, (ts, event_id)) AS description,
+  strftime(min(ts), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS first_seen_at, coalesce(arg_max(s, (ts, event_id)) FILTER (s <> ''), '') AS shopify_updated_at,
+  coalesce(arg_max(r, (ts, event_id)) FILTER (r <> ''), '') AS roaster, 'p' AS platform FROM r GROUP BY hash""")
+def stored_in_buckets(spark, sf):
+    """A store of bucketed files after three upserts, the last of them twice."""
+    events, store = table(spark, sf, "events"), seen.SeenStore(spark, shared_folder(spark, "store"), buckets=8)
+    first, second = (F.lit(d).cast("timestamp") for d in ("2024-01-10", SPLIT))
+    last = seen_rows(events.where(F.col("ts") >= second))
+    for part in (seen_rows(events.where(F.col("ts") < first)), seen_rows(events.where((F.col("ts") >= first) & (F.col("ts") < second))), last, last):
+        store.upsert(part)
+    return store.read()
+
+
 @query("SELECT hash, '' AS url, '' AS title, CASE WHEN n % 2 = 0 THEN '' ELSE 'd' END AS description, '' AS first_seen_at, '' AS shopify_updated_at, '' AS roaster, '' AS platform FROM (SELECT concat_ws('|', user_id, event_type, props) AS hash, count(*) AS n FROM events GROUP BY ALL)")
 def store_of_older_columns(spark, sf):
     """A snapshot that lacks columns and has nulls, as the store reads it."""

@@ -225,12 +225,59 @@ def test_one_source_fails_alone(spark, tmp_path, few_tasks, monkeypatch):
     assert f"Bad {render.FAILED_SUFFIX}" in (tmp_path / "r/20240130-z-digest.md").read_text()
 
 
-def test_old_snapshots_go(spark, tmp_path):
+def files_of(tmp_path):
+    return {str(p.relative_to(tmp_path)) for p in (tmp_path / "store/data").rglob("*.parquet")}
+
+
+def test_store_in_buckets(spark, tmp_path):
+    """An upsert adds to its keys' buckets and leaves all other files; parts become one; old versions go; rows as merged() gives them."""
+    store, whole = seen.SeenStore(spark, f"file://{tmp_path}/store", buckets=8), spark.createDataFrame([], seen.SCHEMA)
+    every = [(f"h{i}", f"u{i}", "t", "d", "2024-01-01", "x" if i % 2 else "", "", "p", i) for i in range(60)]
+    batches = [every] + [[(f"h{i % 7}", f"v{i}", "t2", "", f"2024-02-{i + 1:02}", "", f"r{i}" if i % 3 else "", "", i)] for i in range(12)]
+    for k, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, ROW)
+        before, touched = files_of(tmp_path), {r.b for r in batch.select(store.bucket(8).alias("b")).collect()}
+        store.upsert(batch)
+        new = files_of(tmp_path) - before
+        assert {int(n.partition("bucket=")[2].partition("/")[0]) for n in new} <= touched if k else len(touched) == 8
+        whole = spark.createDataFrame(seen.merged(whole, batch).collect(), seen.merged(whole, batch).schema)
+        assert max(map(len, store.manifest(store.version())["parts"].values())) <= seen.MOST_PARTS
+    assert sorted(map(tuple, store.read().select(*sorted(whole.columns)).collect())) == sorted(map(tuple, whole.select(*sorted(whole.columns)).collect()))
+    assert len(list((tmp_path / "store/manifests").glob("*.json"))) == seen.KEPT
+    assert store.read(buckets=[3]).count() == whole.where(store.bucket(8) == 3).count()
+    assert store.upsert(spark.createDataFrame([], ROW)) == store.version()
+
+
+def test_store_versions_and_writers(spark, tmp_path, monkeypatch):
+    one, two = (seen.SeenStore(spark, f"file://{tmp_path}/store", buckets=2) for _ in range(2))
+    row = lambda h, u: spark.createDataFrame([(h, u, "", "", "2024-01-01", "", "", "", 0)], ROW)
+    first = one.upsert(row("a", "u1"))
+    commit = one._commit
+
+    def late(version, manifest):
+        monkeypatch.undo()
+        two.upsert(row("b", "u2"))  # between the part and the manifest
+        commit(version, manifest)
+
+    monkeypatch.setattr(one, "_commit", late)
+    assert one.upsert(row("a", "u3")) == 3
+    assert sorted((r.hash, r.url) for r in one.read().collect()) == [("a", "u3"), ("b", "u2")]
+    assert [r.url for r in one.read(first).collect()] == ["u1"]
+    with pytest.raises(seen.Conflict):
+        one._commit(3, {})
+    broken = row("c", "u4").withColumn("title", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        one.upsert(broken)
+    assert one.version() == 3 and one.read().count() == 2
+
+
+def test_store_of_snapshots(spark, tmp_path):
+    """A store of the earlier layout, without its later columns, is read and taken over."""
+    spark.createDataFrame([("h", "u", "t", "d", "2023-01-01")], "hash string, url string, title string, description string, first_seen_at string").write.parquet(f"file://{tmp_path}/store/v=3")
     store = seen.SeenStore(spark, f"file://{tmp_path}/store")
-    row = spark.createDataFrame([("h", "u", "t", "d", "2024-01-01", "", "", "", 0)], ROW)
-    for _ in range(seen.KEPT + 2):
-        store.upsert(row)
-    assert store.read().count() == 1 and len(list((tmp_path / "store").glob("v=*"))) == seen.KEPT
+    assert [tuple(r) for r in store.read().collect()] == [("h", "u", "t", "d", "2023-01-01", "", "", "")]
+    store.upsert(spark.createDataFrame([("h", "u2", "t", "d", "2024-01-01", "", "r", "", 0), ("i", "", "", "", "2024-01-02", "", "", "", 1)], ROW))
+    assert sorted((r.hash, r.url, r.first_seen_at, r.roaster) for r in store.read().collect()) == [("h", "u2", "2023-01-01", "r"), ("i", "", "2024-01-02", "")]
 
 
 def test_arguments():
