@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shelfwatch.functions import dates, text
 from shelfwatch.operators import classify, render, seen
 from shelfwatch.plans import evaluator, run
-from shelfwatch.queries import CANON, observations, query, seen_rows, table
+from shelfwatch.queries import CANON, SPLIT, observations, query, seen_rows, table
 from shelfwatch.sources import catalog, config, fetch, reports, rules, sitemap
 
 RUN_ID = "20240130"
