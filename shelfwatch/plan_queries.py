@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import dates, text
-from shelfwatch.operators import classify, render, seen
+from shelfwatch.operators import classify, keywords, render, seen
 from shelfwatch.plans import evaluator, run
 from shelfwatch.queries import CANON, SPLIT, observations, query, seen_rows, table
 from shelfwatch.sources import catalog, config, fetch, reports, rules, sitemap
@@ -93,6 +93,16 @@ def source_configs(spark, sf):
     return spark.createDataFrame(rows, "name string, base_url string, max_products int, products_type string, include_tags string, items_path string, params string, patterns string, max_pages int, names string")
 
 
+@query("""WITH k AS (SELECT DISTINCT CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS source, regexp_extract(text, '[a-z]{4,}') AS word FROM documents WHERE regexp_extract(text, '[a-z]{4,}') <> '')
+SELECT doc_id, string_agg(DISTINCT word, '|' ORDER BY word) AS hits FROM documents d JOIN k ON contains(text, word) AND (k.source IS NULL OR k.source = d.source) GROUP BY doc_id""")
+def keyword_tables(spark, sf):
+    """Each source's keywords, the first words of its documents, and some for all sources, sought in all texts in one pass."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    words = docs.select(F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("source"), F.regexp_extract("text", "[a-z]{4,}", 0).alias("keyword"))
+    found = keywords.with_hits(docs, F.col("text"), F.col("source"), words).where(F.size("hits") > 0)
+    return found.select("doc_id", F.array_join("hits", "|").alias("hits"))
+
+
 def customer_entries(spark, sf) -> DataFrame:
     """A configuration entry for each customer, in the spellings that files use."""
     k, segment = F.col("c_custkey"), F.lower("c_mktsegment")
