@@ -62,9 +62,10 @@ class Run:
         return [s for i, s in enumerate(sources) if i in left]
 
     def saved(self, df: DataFrame, name: str) -> DataFrame:
-        """df as a table beside the store: what several outputs of a run share is computed once and survives lost executors."""
+        """df as a table beside the store: what several outputs of a run share is computed once and survives lost executors. It goes with the session."""
         at = f"{self.store.path}-runs/{self.run_id}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(at)
+        self.store.fs.deleteOnExit(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at))
         return self.spark.read.schema(df.schema).parquet(at)
 
     def products(self, responses: DataFrame, wanted: list[Source]) -> DataFrame | None:
