@@ -16,7 +16,7 @@ from shelfwatch.functions import dates, text
 from shelfwatch.operators import classify, keywords, render, seen
 from shelfwatch.plans import evaluator, run
 from shelfwatch.queries import CANON, SPLIT, observations, query, seen_rows, table
-from shelfwatch.sources import catalog, config, fetch, reports, rules, sitemap
+from shelfwatch.sources import catalog, config, fetch, reports, robots, rules, sitemap
 
 RUN_ID = "20240130"
 BIG = 2**31 - 1
@@ -103,6 +103,17 @@ def keyword_tables(spark, sf):
     return found.select("doc_id", F.array_join("hits", "|").alias("hits"))
 
 
+@query(r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+') AS origin, substr(url, length(regexp_extract(url, '^[a-z]+://[^/?#]+')) + 1) AS path FROM pages)
+SELECT page_id, NOT CASE length(origin) % 4 WHEN 0 THEN starts_with(path, '/en/') AND NOT starts_with(path, '/en/1') WHEN 1 THEN contains(substr(path, 1, 3), '/de') WHEN 2 THEN false ELSE NOT starts_with(path, '/fr/') END AS allowed FROM p""")
+def robots_by_host(spark, sf):
+    """Each page's URL held against the robots.txt of its origin, of which there are four kinds, one of them an error's."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    kind = F.length("origin") % 4
+    body = F.when(kind == 0, "User-agent: *\nAllow: /en/1\nDisallow: /en/").when(kind == 1, "User-agent: *\nDisallow: /de").otherwise("User-agent: *\nAllow: /fr/\nDisallow: /")
+    files = pages.select(robots.origin_of(F.col("url")).alias("origin")).distinct().select("origin", F.when(kind == 2, 404).otherwise(200).alias("status"), body.alias("body"))
+    return robots.decided(pages, robots.rules(files)).select("page_id", "allowed")
+
+
 def customer_entries(spark, sf) -> DataFrame:
     """A configuration entry for each customer, in the spellings that files use."""
     k, segment = F.col("c_custkey"), F.lower("c_mktsegment")
