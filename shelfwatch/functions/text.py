@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfwatch.functions.html import visible_lines
+from shelfwatch.functions.once import once
+
 # Lines with one of these are page furniture; a phrase may be part of a longer word.
 BOILERPLATE = ("cookie", "privacy policy", "terms of service", "newsletter", "subscribe", "sign up", "log in", "login", "add to cart", "cart", "checkout", "shipping", "search", "filter")
-# What personal data looks like, and the tags that hide text or end a line.
+# What personal data looks like.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?U)\+?\d[\d\s().-]{7,}\d"
 LEAST_DIGITS = 10
-SKIPPED_TAGS = ("script", "style", "head", "noscript", "svg", "canvas")
-LINE_TAGS = ("br", "p", "li", "div", "section")
-ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;?", "&"))
 
 
 def collapse(s: Column) -> Column:
@@ -40,37 +40,27 @@ def redact_email(s: Column) -> Column:
     return F.regexp_replace(s, EMAIL, "[redacted email]")
 
 
-def redact_phone(s: Column) -> Column:
+def redact_phone(text: Column) -> Column:
     """Digit runs that look like a phone number and have ten digits or more."""
-    between, found = F.split(s, PHONE), F.regexp_extract_all(s, F.lit(PHONE), F.lit(0))
-    shown = F.transform(found, lambda m: F.when(F.length(F.regexp_replace(m, r"(?U)\D", "")) >= LEAST_DIGITS, "[redacted phone]").otherwise(m))
-    return F.array_join(F.zip_with(between, shown, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
 
+    def redacted(s: Column) -> Column:
+        between, found = F.split(s, PHONE), F.regexp_extract_all(s, F.lit(PHONE), F.lit(0))
+        shown = F.transform(found, lambda m: F.when(F.length(F.regexp_replace(m, r"(?U)\D", "")) >= LEAST_DIGITS, "[redacted phone]").otherwise(m))
+        return F.array_join(F.zip_with(between, shown, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
 
-def visible_lines(html: Column) -> Column:
-    """Text that a reader sees, a line for each block element. Entities beyond ENTITIES stay as they are."""
-    h = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
-    for tag in SKIPPED_TAGS:
-        h = F.regexp_replace(h, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
-    h = F.regexp_replace(h, r"\s+", " ")
-    h = F.regexp_replace(h, rf"(?i)<({'|'.join(LINE_TAGS)})\b[^>]*>", "\n")
-    h = F.regexp_replace(h, "<[^>]*>", " ")
-    for pattern, char in ENTITIES:
-        h = F.regexp_replace(h, pattern, char)
-    h = F.regexp_replace(F.regexp_replace(h, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.regexp_replace(F.regexp_replace(h, r"\n+", "\n"), r"^\s+|\s+$", "")
+    return once(text, redacted)
 
 
 def without_boilerplate(lines: Column, phrases: Sequence[str] = BOILERPLATE) -> Column:
     """An array of lines without those that hold a phrase."""
 
-    def clean(line: Column) -> Column:
+    def clean(lower: Column) -> Column:
         out = F.lit(True)
         for p in phrases:
-            out = out & ~F.contains(F.lower(line), F.lit(p))
+            out = out & ~F.contains(lower, F.lit(p))
         return out
 
-    return F.filter(lines, clean)
+    return F.filter(lines, lambda line: once(F.lower(line), clean))
 
 
 def sanitized(html: Column, chars: int = 0, drop_boilerplate: bool = True) -> Column:

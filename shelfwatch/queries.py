@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.functions import dates, text, urls
+from shelfwatch.functions import dates, html, text, urls
 from shelfwatch.functions.hashing import seen_hash
 from shelfwatch.operators import classify, relational, render, reparse, seen
 from shelfwatch.sources import catalog, config, jsonld, sitemap
@@ -288,15 +288,15 @@ def sql_list(names) -> str:
 # Told apart from the engine's recipe: a page is cut at each '<', and a running count says whether a piece lies in a skipped element.
 LINES = rf"""piece AS (SELECT page_id, unnest(str_split(html, '<')) AS part, generate_subscripts(str_split(html, '<'), 1) AS i FROM pages),
 cut AS (SELECT page_id, i, CASE WHEN i = 1 THEN '' ELSE lower(regexp_extract(part, '^/?[A-Za-z][A-Za-z0-9]*')) END AS tag, regexp_replace(CASE WHEN i = 1 THEN part ELSE substr(part, instr(part, '>') + 1) END, '\s+', ' ', 'g') AS t FROM piece),
-deep AS (SELECT *, sum(CASE WHEN tag IN {sql_list(text.SKIPPED_TAGS)} THEN 1 WHEN tag IN {sql_list("/" + t for t in text.SKIPPED_TAGS)} THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM cut),
-flat AS (SELECT page_id, string_agg(CASE WHEN depth > 0 THEN ' ' WHEN tag IN {sql_list(text.LINE_TAGS)} THEN chr(10) || t ELSE ' ' || t END, '' ORDER BY i) AS t FROM deep GROUP BY page_id),
+deep AS (SELECT *, sum(CASE WHEN tag IN {sql_list(html.SKIPPED_TAGS)} THEN 1 WHEN tag IN {sql_list("/" + t for t in html.SKIPPED_TAGS)} THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM cut),
+flat AS (SELECT page_id, string_agg(CASE WHEN depth > 0 THEN ' ' WHEN tag IN {sql_list(html.LINE_TAGS)} THEN chr(10) || t ELSE ' ' || t END, '' ORDER BY i) AS t FROM deep GROUP BY page_id),
 plain AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM flat),
 lines AS (SELECT page_id, list_filter(list_transform(str_split(t, chr(10)), lambda l: trim(regexp_replace(l, ' +', ' ', 'g'))), lambda l: l <> '') AS ls FROM plain)"""
 
 
 @query(f"WITH {LINES} SELECT page_id, array_to_string(ls, chr(10)) AS text FROM lines")
 def html_visible_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.visible_lines(F.col("html")).alias("text"))
+    return table(spark, sf, "pages").select("page_id", html.visible_lines(F.col("html")).alias("text"))
 
 
 @query(f"SELECT doc_id, regexp_replace(text, '{text.EMAIL}', '[redacted email]', 'g') AS text FROM documents")
