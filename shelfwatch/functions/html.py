@@ -3,6 +3,7 @@
 A page is read as Python's tolerant parser reads it when it is fed but never closed: what an unclosed tag, comment,
 script or style begins is lost, and so is a last run of text that may end within a character reference ("Sweet R&D").
 Hidden elements nest; an end tag of any of them closes one. An attribute's quote that never ends doesn't hold a '>'.
+With closed=True a reference needs its ';': "&amp" then stays as it is, and no text is lost for a reference that may be open.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ BLANK = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 BLANKS = rf"[{BLANK}][ {BLANK}]*+| [ {BLANK}]++"
 CUT_SHORT = rf"&[^ {BLANK};&<]{{0,33}}\z"
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\r\f <&#;]{1,32};?)"
+CLOSED = REFERENCE.replace(";?", ";")
 # References by name as the standard library has them; those without ';' may stand before further letters.
 COMMON = ("amp;", "nbsp;", "quot;", "lt;", "gt;", "copy;", "reg;", "trade;", "eacute;", "rsquo;", "ndash;", "mdash;")
 NAMED = json.dumps({**{k: html5[k] for k in COMMON}, **html5})
@@ -59,22 +61,25 @@ def _numbered(ref: Column) -> Column:
     return F.when(unknown, F.lit("�")).when(n.between(128, 159), F.lit(WINDOWS).substr(n - 127, F.lit(1))).when(none, F.lit("")).otherwise(known)
 
 
-def _named(ref: Column) -> Column:
+def _named(ref: Column, closed: bool) -> Column:
     table = F.from_json(F.lit(NAMED), "map<string,string>")
     name = F.substring(ref, 2, 40)
+    if closed:
+        return F.coalesce(F.try_element_at(table, name), ref)
     bare = F.regexp_extract(name, rf"^(?:{BARE})", 0)
     start = F.concat(F.try_element_at(table, bare), name.substr(F.length(bare) + 1, F.length(name)))
     return F.coalesce(F.try_element_at(table, name), F.when(bare != "", start), ref)
 
 
-def unescaped(text: Column) -> Column:
+def unescaped(text: Column, closed: bool = False) -> Column:
     """Character references as the characters that they stand for; what is none stays."""
-    return once(text, lambda s: F.when(F.contains(s, F.lit("&")), _decoded(s)).otherwise(s))
+    return once(text, lambda s: F.when(F.contains(s, F.lit("&")), _decoded(s, closed)).otherwise(s))
 
 
-def _decoded(s: Column) -> Column:
-    between, found = F.split(s, REFERENCE), F.regexp_extract_all(s, F.lit(REFERENCE), F.lit(0))
-    shown = F.transform(found, lambda m: F.when(m.startswith("&#"), _numbered(m)).otherwise(_named(m)))
+def _decoded(s: Column, closed: bool) -> Column:
+    reference = CLOSED if closed else REFERENCE
+    between, found = F.split(s, reference), F.regexp_extract_all(s, F.lit(reference), F.lit(0))
+    shown = F.transform(found, lambda m: F.when(m.startswith("&#"), _numbered(m)).otherwise(_named(m, closed)))
     return F.array_join(F.zip_with(between, shown, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
 
 
@@ -91,11 +96,12 @@ def _tail_kept(h: Column) -> Column:
     return F.when(h.rlike(CUT_SHORT), F.regexp_replace(h, r"(?:\A|<(?=[A-Za-z/])|(<))[^<]*+\z", "$1")).otherwise(h)
 
 
-def visible_lines(html: Column) -> Column:
+def visible_lines(html: Column, closed: bool = False) -> Column:
     """Text that a reader sees, a line for each start of a block element, none of them empty."""
-    h = once(F.regexp_replace(html, rf"(?is){SILENT}", MARK), _tail_kept)
+    h = F.regexp_replace(html, rf"(?is){SILENT}", MARK)
+    h = h if closed else once(h, _tail_kept)
     h = once(F.regexp_replace(h, rf"(?i){HIDDEN}", MARK), lambda h: F.when(h.rlike(rf"(?i)</?\s*{HIDES}"), _outside(h)).otherwise(h))
     h = F.regexp_replace(F.replace(h, F.lit(MARK), F.lit(" ")), BLANKS, " ")
     h = F.replace(F.regexp_replace(h, rf"(?i)<{LINE}{REST}>", "\n"), F.lit("<"), F.lit(" < "))
-    lines = F.transform(F.split(h, "\n"), lambda x: F.trim(F.regexp_replace(unescaped(x), BLANKS, " ")))
+    lines = F.transform(F.split(h, "\n"), lambda x: F.trim(F.regexp_replace(unescaped(x, closed), BLANKS, " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")

@@ -76,3 +76,24 @@ def test_null_and_very_long_pages(spark):
 def test_no_python_worker(spark, sf):
     plan = spark.read.parquet(f"{sf}/pages.parquet").select(text.sanitized(F.col("html")).alias("x"))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+OPEN_REFERENCES = [(1, "<h1>a &amp;&amp</h1><p>b&lt c&nbsp</p>&copy; d &amp; &#39;e&#39;"), (2, "<p>a&amp;amp</p><p>&amp;lt;</p>Sweet R&D"), (3, "<p>&middot; x&quot"), (4, "plain")]
+
+
+def against_sql(spark, path, name):
+    """Rows of a query over OPEN_REFERENCES and those of its SQL."""
+    import duckdb
+
+    from shelfwatch.queries import ORACLE_SQL, QUERIES
+
+    spark.createDataFrame(OPEN_REFERENCES, "page_id long, html string").write.parquet(f"{path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{path}/pages.parquet/*.parquet'")
+    return sorted(tuple(r) for r in QUERIES[name](spark, str(path)).collect()), sorted(con.sql(ORACLE_SQL[name]).fetchall())
+
+
+def test_visible_text_query_leaves_open_references(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "html_visible_text")
+    assert got == want
+    assert got[0] == (1, "a &&amp\nb&lt c&nbsp © d & 'e'")
