@@ -63,9 +63,9 @@ def without_boilerplate(lines: Column, phrases: Sequence[str] = BOILERPLATE) ->
     return F.filter(lines, lambda line: once(F.lower(line), clean))
 
 
-def sanitized(html: Column, chars: int = 0, drop_boilerplate: bool = True) -> Column:
-    """One line of visible text without page furniture, unprintable characters and personal data."""
-    lines = F.split(visible_lines(html), "\n")
+def sanitized(html: Column, chars: int = 0, drop_boilerplate: bool = True, closed: bool = False) -> Column:
+    """One line of visible text without page furniture, unprintable characters and personal data; closed: references need their ';'."""
+    lines = F.split(visible_lines(html, closed), "\n")
     lines = without_boilerplate(lines) if drop_boilerplate else lines
     return cap(redact_phone(redact_email(printable(collapse(F.array_join(lines, " "))))), chars)
 

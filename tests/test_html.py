@@ -97,3 +97,9 @@ def test_visible_text_query_leaves_open_references(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "html_visible_text")
     assert got == want
     assert got[0] == (1, "a &&amp\nb&lt c&nbsp © d & 'e'")
+
+
+def test_sanitized_query_leaves_open_references(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "sanitized_page")
+    assert got == want
+    assert got[1] == (2, "a&amp &lt; Sweet R&D")
