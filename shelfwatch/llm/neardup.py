@@ -353,10 +353,10 @@ def to_compare(label: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at != count.argmax())
 
 
-def meeting(t: pa.Table, similarity: float) -> np.ndarray:
-    """The rows of a block (label, kind, home, n, sig in its third column and on) that have another one with which they may be similar but aren't connected."""
+def meeting(t: pa.Table, similarity: float) -> list[np.ndarray]:
+    """The rows of a block (label, kind, home, n, sig in its third column and on) that have another one with which they may be similar but aren't connected, in groups: no such pair is in two of them."""
     label, kind, home, n = (t.column(c).to_numpy() for c in range(3, 7))
-    sig, met, within = sig_of(t.column(7).combine_chunks()), np.zeros(len(label), bool), int(t.column(1)[0].as_py())
+    sig, group, within = sig_of(t.column(7).combine_chunks()), np.arange(len(label)), int(t.column(1)[0].as_py())
     two_parts = within >> 40 == 2 and (within >> 20) % (1 << 20) != within % (1 << 20)
     seekers = to_compare(label)
     step_by = max(1, (16 << 20) // (len(label) * COORDINATES))
@@ -368,16 +368,35 @@ def meeting(t: pa.Table, similarity: float) -> np.ndarray:
         elif two_parts:
             ok &= home[i, None] != home
         ok &= fair(n[i, None], n, sig[i, None, :], sig, similarity)
-        met[i] |= ok.any(axis=1)
-        met |= ok.any(axis=0)
-    return np.flatnonzero(met)
+        for r in np.flatnonzero(ok.any(axis=1)).tolist():
+            mine = group[i[r]]
+            for other in np.unique(group[ok[r]]).tolist():
+                if other != mine:
+                    group[group == other] = mine
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.diff(group[order])) + 1
+    return [rows for rows in np.split(order, cuts) if len(rows) > 1]
+
+
+def joined_groups(ws: Workspace, chosen: DataFrame, classes: DataFrame) -> DataFrame:
+    """chosen (block, cid, label) with blocks that share classes as one, where what hangs together so has up to NODE classes and BLOCK_BYTES of sets."""
+    own = Workspace(ws.spark, "groups")  # components() writes labels of its own
+    heads = chosen.groupBy("block").agg(F.min("cid").alias("b"))
+    chains = own.save(chosen.join(heads, "block").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct(), "chains")
+    whole = components(own, chains).withColumnRenamed("label", "whole").join(classes.select("cid", "n"), "cid")
+    fits = whole.groupBy("whole").agg(F.count(F.lit(1)).alias("held"), (8 * F.sum("n")).alias("bytes")).where((F.col("held") <= NODE) & (F.col("bytes") <= BLOCK_BYTES))
+    of_class = whole.join(fits, "whole", "left_semi").select("cid", "whole")
+    joined = chosen.join(of_class, "cid", "left").select(F.coalesce("whole", "block").alias("block"), "cid", "label").distinct()
+    joined = ws.save(joined, "joined")
+    own.drop("chains", "labels")
+    return joined
 
 
 def other_links(ws: Workspace, leaf: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes that share a leaf but no component, compared exhaustively on their full sets.
 
-    First the classes that have anyone to be compared with are told; blocks that tell the same of several trees' leaves
-    are one from there on. Then their sets come to the blocks. Of a block's links only those that connect what it hasn't connected
+    First the classes that have anyone to be compared with are told, in the groups that hang together by such pairs; groups of
+    several trees' leaves that share a class are one from there on, so its set is sent once, unless that one is larger than a leaf. Then their sets come to the blocks. Of a block's links only those that connect what it hasn't connected
     yet are given, so their number is below its rows'.
     """
     spark, similarity = leaf.sparkSession, percent / 100
@@ -387,12 +406,15 @@ def other_links(ws: Workspace, leaf: DataFrame, labels: DataFrame, classes: Data
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, 2):
-            if t.num_rows > 1 and len(at := meeting(t, similarity)):
+            if t.num_rows > 1 and (groups := meeting(t, similarity)):
+                at = np.concatenate(groups)
                 cid, label = t.column(2).to_numpy()[at], t.column(3).to_numpy()[at]
-                yield batch_of(CHOSEN, (np.full(len(at), class_id(cid)), cid, label))
+                ends = np.cumsum([len(g) for g in groups])
+                block = np.repeat([class_id(c) for c in np.split(cid, ends[:-1])], np.diff(ends, prepend=0))
+                yield batch_of(CHOSEN, (block, cid, label))
 
     chosen = ws.save(rows.mapInArrow(members, "block long, cid long, label long").dropDuplicates(["block", "cid"]), "chosen")
-    whole = chosen.join(sets, "cid").select("block", "cid", "label", "shingles").repartition(tasks, "block").sortWithinPartitions("block", "cid")
+    whole = joined_groups(ws, chosen, classes).join(sets, "cid").select("block", "cid", "label", "shingles").repartition(tasks, "block").sortWithinPartitions("block", "cid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, 1):
@@ -427,7 +449,7 @@ def links_of(ws: Workspace, docs: DataFrame, classes: DataFrame, k: int, percent
     similarity = percent / 100
     some = ws.save(with_partners(classes, similarity), "some")
     rows, depth, leaf = ws.save(first_rows(some, trees_for(recall, similarity)), "rows"), FIRST_DEPTH, None
-    labels = None
+    labels = sets = None
 
     def connect(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return relabelled(ws, labels, ws.save(confirmed(pairs, sets, percent), "links"))
@@ -435,11 +457,13 @@ def links_of(ws: Workspace, docs: DataFrame, classes: DataFrame, k: int, percent
     while True:
         nodes = ws.save(nodes_of(rows), "nodes")
         held = ws.save(rows.join(nodes, "path").select("path", "cid", "pivot", "size"), f"held{depth}")
+        if sets is None:  # deeper nodes hold no further classes, so the texts are shuffled once
+            sets = ws.save(full_sets(docs, some, held.select("cid"), k), "sets")
         small, large = held.where(F.col("size") <= NODE), held.where(F.col("size") > NODE)
         leaf = small if leaf is None else leaf.unionByName(small)
         if large.isEmpty():
             break
-        labels = connect(star(large), ws.save(full_sets(docs, some, large.select("cid"), k), "sets"))
+        labels = connect(star(large), sets)
         large = ws.save(apart(labelled_rows(large, labels)).drop("label"), f"large{depth}")
         if depth >= LAST_DEPTH:
             leaf = leaf.unionByName(large)
@@ -447,7 +471,6 @@ def links_of(ws: Workspace, docs: DataFrame, classes: DataFrame, k: int, percent
         levels = min(2, LAST_DEPTH - depth)
         rows, depth = ws.save(next_rows(large.join(some.select("cid", "sig"), "cid"), levels), "rows"), depth + levels
     ws.drop("rows", "nodes")
-    sets = ws.save(full_sets(docs, some, leaf.select("cid"), k), "sets")
     first = ws.save(star(leaf, FIRST_PIVOTS), "star")
     labels = connect(first, sets)
     # The other pivots, for classes that don't hang together with them yet.
@@ -455,7 +478,7 @@ def links_of(ws: Workspace, docs: DataFrame, classes: DataFrame, k: int, percent
     rest = labelled_rows(leaf, labels).join(of_pivot, "pivot", "left").where(F.col("label") != F.coalesce("pivot_label", "pivot"))
     labels = connect(star(rest).join(first.select("a", "b"), ["a", "b"], "left_anti"), sets)
     labels = relabelled(ws, labels, ws.save(other_links(ws, leaf, labels, some, sets, percent), "other_links"))
-    ws.drop("blocks", "chosen", "sets", "some", "star", "links", "ends", "before", *(f"{x}{d}" for x in ("held", "large") for d in range(LAST_DEPTH + 1)))
+    ws.drop("blocks", "chosen", "joined", "sets", "some", "star", "links", "ends", "before", *(f"{x}{d}" for x in ("held", "large") for d in range(LAST_DEPTH + 1)))
     return labels
 
 

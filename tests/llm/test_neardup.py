@@ -165,3 +165,28 @@ def test_query(spark):
     d = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     same(QUERIES["op5_near_duplicates"](spark, d).collect(), brute(rows, 4, 80))
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """However many levels branch: every level's classes are among the first one's."""
+    made, levels = [], []
+    texts_of, nodes_of = neardup.texts_of, neardup.nodes_of
+    monkeypatch.setattr(neardup, "texts_of", lambda *a: made.append(1) or texts_of(*a))
+    monkeypatch.setattr(neardup, "nodes_of", lambda rows: levels.append(1) or nodes_of(rows))
+    monkeypatch.setattr(neardup, "NODE", 8)
+    rows = near_copies(random.Random(6), 2, 150, 60, 6)
+    same(neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 4, 80).collect(), brute(rows, 4, 80))
+    assert len(levels) > 2 and len(made) == 1
+
+
+def test_set_of_overlapping_groups_is_sent_once(spark, monkeypatch):
+    """Groups that share a class are one, and one for each if that is larger than a leaf; what has no class in common stays apart."""
+    monkeypatch.setattr(neardup, "NODE", 4)
+    blocks = {100: [1, 2], 101: [2, 3, 4], 102: [1, 4], 103: [7, 8], 104: [11, 12, 13], 105: [13, 14, 15]}
+    chosen = spark.createDataFrame([(b, c, -c) for b, cids in blocks.items() for c in cids], "block long, cid long, label long")
+    classes = spark.createDataFrame([(c, 10) for c in range(20)], "cid long, n long")
+    got = {}
+    for r in neardup.joined_groups(neardup.Workspace(spark, "t"), chosen, classes).collect():
+        assert r.label == -r.cid
+        got.setdefault(r.block, []).append(r.cid)
+    assert sorted(sorted(x) for x in got.values()) == [[1, 2, 3, 4], [7, 8], [11, 12, 13], [13, 14, 15]]
