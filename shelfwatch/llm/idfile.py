@@ -22,7 +22,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,7 @@ LEVELS = 32  # of order 0's frequencies: half powers of two
 RATE = 14  # by which power of two the mixing weights' mean gradient is divided, less two
 PIECE = 200_000
 KEPT_WORDS, KEPT_BYTES = 500_000, 32 << 20
+TOGETHER, BREAK = 256, "\x01"  # so many new words go to the library as one text, with a word between them that has one id
 #: Log odds (256 is 1) of probabilities by 16ths of 1/4096, and probabilities of log odds from -2047.
 STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int64)
 SQUASH = np.array([min(ONE - 24, max(24, round(ONE / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
@@ -377,6 +377,8 @@ class WordIds(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        ids = self.made([BREAK])[0]
+        self.break_id = int(ids[0]) if len(ids) == 1 else -1
         self.forget()
 
     def forget(self) -> None:
@@ -391,12 +393,26 @@ class WordIds(dict):
         self.bytes += len(word)
         return at
 
+    def made(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.new], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
+        words = [w.decode() for w in self.new]
+        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        flat, sizes = [self.flat], []
+        for some, ids in zip(groups, self.made([f" {BREAK} ".join(g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(ids == self.break_id)
+            if len(cuts) == len(some) - 1:
+                flat.append(np.delete(ids, cuts))
+                sizes.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+            else:  # a word gives that id itself
+                apart = self.made(some)
+                flat += apart
+                sizes.append(np.fromiter(map(len, apart), np.int64, len(apart)))
+        size = np.concatenate(sizes)
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))])
+        self.flat = np.concatenate(flat)
         self.new = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -113,3 +113,22 @@ def test_repeated_ids(spark):
 def test_query(spark, sf, tokenizer):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op8_id_files"](spark, sf).collect()} == expected(tokenizer, rows)
+
+
+def test_new_words_go_to_the_library_together(tokenizer):
+    """Also such that give the id that stands between words, or hold a special token; by twos and threes, and alone."""
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            given.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **kw)
+
+    words = idfile.WordIds(Counted())
+    plain = [f"w{i} Straße{i} don't{i} é{i} {i}.&&& \U0001f600{i}" for i in range(500)]
+    assert [x.tolist() for x in words.encode(plain)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in plain]
+    assert len(given) < 0.01 * len(words)
+    odd = ["a \x01 b", "\x01", "\x01\x01 x\x01y", "<|endoftext|> z<|startoftext|>q", "́ ́x", "ΣΑΣ Σ", "\x1c \x85x", "one"]
+    for some in (odd, *([t] for t in odd), odd[::-1] + plain[:3]):
+        words.forget()
+        assert [x.tolist() for x in words.encode(some)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
