@@ -15,6 +15,7 @@ is new. All arithmetic is on integers, and the decoder takes the same steps, so
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -25,22 +26,40 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwatch.llm.common import Workspace, batch_of, groups_of, keyed_text
 
-MAGIC = b"IDB1"
+MAGIC = b"IDB2"
 BLOCK = 1 << 20
 LANES, LANE_LEAST = 8192, 64
 HALF, WORD = np.uint64(32), np.uint64(1 << 32)
 ORDER2_BITS = 18
 SURE = 7  # the most a prediction's confidence counts
+#: How sure a prediction is after it failed, by how sure it was before (under 2 it is given up), and after it came true.
+AFTER = np.array([*(k >> 1 for k in range(8)), *(min(k + 1, SURE) for k in range(8))], np.int32)
 ONE = 1 << 16  # a probability of 1
+PROBABILITY, SPARE = np.uint64(16), np.uint64(8)
+SHARE = np.uint64(1 << 24)  # of a lane's range, before it is dealt to what may come
 LEVELS = 32  # of order 0's frequencies: half powers of two
 RATE = 14  # by which power of two the mixing weights' mean gradient is divided, less two
 PIECE = 200_000
-KEPT_WORDS, KEPT_BYTES = 500_000, 32 << 20
+KEPT_WORDS, KEPT_CHARS = 500_000, 32 << 20
+END = "</w>"
+#: What the tokenizer does to a text, as its file says it.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: The same for words of ASCII and Latin-1 letters in lower case, ended by newlines; and what makes a word other than those: a further character, or a special token's beginning.
+CUT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
+ODD = r"[^\x21-\x7EÀ-ÖØ-öø-ÿ]|<\|"
 TOGETHER, BREAK = 256, "\x01"  # so many new words go to the library as one text, with a word between them that has one id
 #: Log odds (256 is 1) of probabilities by 16ths of 1/4096, and probabilities of log odds from -2047.
 STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int64)
@@ -53,109 +72,134 @@ class Odds:
     def __init__(self, states: int, hits: int = 1, of: int = 4):
         self.states, self.hits, self.n = states, np.full(states, hits, np.int64), np.full(states, of, np.int64)
 
-    def stretched(self, state: np.ndarray) -> np.ndarray:
-        return STRETCH[(self.hits << 12) // self.n].take(state)
+    def stretched(self) -> np.ndarray:
+        return STRETCH[(self.hits << 12) // self.n]
 
-    def learn(self, state: np.ndarray, hit: np.ndarray) -> None:
-        seen = np.bincount(state * 2 + hit, minlength=2 * self.states).reshape(-1, 2)
-        self.hits += 8 * seen[:, 1]
-        self.n += 8 * seen.sum(axis=1)
+    def learn(self, hits: np.ndarray, of: np.ndarray) -> None:
+        self.hits += 8 * hits
+        self.n += 8 * of
         old = self.n > 1 << 19
         if old.any():
             self.hits[old], self.n[old] = (self.hits[old] + 1) >> 1, (self.n[old] + 3) >> 1
 
 
 class Mixer:
-    """One probability from several log odds: their weighted sum, with a set of weights for each kind of context."""
+    """One probability from the log odds of several orders: their weighted sum, with a set of weights for each kind of context.
 
-    def __init__(self, inputs: int, sets: int):
-        self.weights = np.full((sets, inputs), (ONE * 6 // 10), np.int64)
-
-    def mixed(self, inputs: list[np.ndarray], use: np.ndarray) -> np.ndarray:
-        self.inputs, self.use = inputs, use
-        dot = sum(x * self.weights[:, k].take(use) for k, x in enumerate(inputs)) >> 16
-        self.p = SQUASH.take(np.clip(dot, -2047, 2047) + 2047)
-        return self.p
+    Lanes in the same states of all orders get the same probability, so it is made, and learned from, once for each joint
+    state: a row for those of the higher orders, a column for order 0's.
+    """
 
-    def learn(self, hit: np.ndarray) -> None:
+    def __init__(self, orders: list[Odds], order0: Odds, use: np.ndarray):
+        """use: the set of weights by row."""
+        self.orders, self.order0, self.use, self.sets = orders, order0, use, int(use.max()) + 1
+        self.states = np.indices([o.states for o in orders]).reshape(len(orders), -1)
+        self.size = len(use) * order0.states
+        self.weights = np.full((self.sets, len(orders) + 1), (ONE * 6 // 10), np.int64)
+
+    def mixed(self) -> np.ndarray:
+        """The probability by joint state."""
+        weights = self.weights[self.use]
+        self.inputs, self.column = [o.stretched()[x] for o, x in zip(self.orders, self.states, strict=True)], self.order0.stretched()
+        rows = sum(x * weights[:, k] for k, x in enumerate(self.inputs))
+        dot = (rows[:, None] + weights[:, -1:] * self.column) >> 16
+        self.p = SQUASH.take(dot + 2047, mode="clip")
+        return self.p.ravel()
+
+    def seen(self, state: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """How many lanes missed and how many hit, by joint state."""
+        return np.bincount(state + hit * np.int32(self.size), minlength=2 * self.size).reshape(2, -1)
+
+    def learn(self, seen: np.ndarray) -> None:
         """Down the coding cost's gradient, by its mean over the lanes; sums of integers in doubles are exact."""
-        error, n = hit * ONE - self.p, np.bincount(self.use, minlength=len(self.weights)) + 16
-        for k, x in enumerate(self.inputs):
-            slope = np.bincount(self.use, weights=error * x, minlength=len(self.weights)).astype(np.int64)
-            self.weights[:, k] += (slope // n) >> (RATE - 2)
+        missed, hits = seen.reshape(2, len(self.use), -1)
+        of = missed + hits
+        error = (hits * ONE - of * self.p).astype(float)
+        n, by_row = of.sum(axis=1), error.sum(axis=1)
+        means = np.bincount(self.use, weights=n, minlength=self.sets).astype(np.int64) + 16
+        for k, x in enumerate([by_row * x for x in self.inputs] + [error @ self.column.astype(float)]):
+            slope = np.bincount(self.use, weights=x, minlength=self.sets).astype(np.int64)
+            self.weights[:, k] += (slope // means) >> (RATE - 2)
+        hit = hits.sum(axis=1)
+        for o, x in zip(self.orders, self.states, strict=True):
+            o.learn(*(np.bincount(x, weights=w, minlength=o.states).astype(np.int64) for w in (hit, n)))
+        self.order0.learn(hits.sum(axis=0), of.sum(axis=0))
+
+
+def bit(mask: np.ndarray, at: int) -> np.ndarray:
+    return mask.view(np.int8).astype(np.int32) << at
 
 
 class Model:
-    """What both sides know about a block so far. A prediction is one number: id * 8 + how sure; -1 where there is none."""
+    """What both sides know about a block so far. A prediction is one number: id * 8 + how sure; the vocabulary's size stands for no id."""
 
     def __init__(self, vocabulary: int):
         self.size = vocabulary
-        self.follow1 = np.full(vocabulary + 1, -1, np.int32)
-        self.follow2 = np.full(1 << ORDER2_BITS, -1, np.int32)
-        self.by2, self.by1, self.by0 = Odds(9), Odds(17), Odds(LEVELS)  # of the first candidate, by each order's state
-        self.own1, self.own0 = Odds(8), Odds(LEVELS)  # of order 1's own candidate
-        self.first, self.second, self.fresh = Mixer(3, 4), Mixer(2, 1), Odds(1, 3, 4)
+        self.none = np.int32(vocabulary * 8)
+        self.follow1 = np.full(vocabulary + 1, self.none, np.int32)
+        self.follow2 = np.full(1 << ORDER2_BITS, self.none, np.int32)
+        has2, same = np.indices((9, 17)).reshape(2, -1) < [[8], [8]]
+        self.first = Mixer([Odds(9), Odds(17)], Odds(LEVELS), has2 * 2 + same)  # of the first candidate, by each order's state
+        self.second = Mixer([Odds(8)], Odds(LEVELS), np.zeros(8, np.int64))  # of order 1's own candidate
+        self.fresh = Odds(1, 3, 4)
         self.count = np.zeros(vocabulary, np.int64)
         self.steps = 0
         self.snapshot()
 
     def snapshot(self) -> None:
         """The ids seen so far, with cumulative counts, as order 0 uses them until the next one."""
-        self.ids = np.flatnonzero(self.count).astype(np.int32)
+        self.ids = np.flatnonzero(self.count)
         counts = self.count[self.ids]
         self.cum = np.concatenate([[0], np.cumsum(counts)]).astype(np.uint64)
         self.place = np.full(self.size, -1, np.int32)
         self.place[self.ids] = np.arange(len(self.ids), dtype=np.int32)
         self.holder = np.repeat(np.arange(len(self.ids), dtype=np.int32), counts)  # which id each count is of
-        self.level = np.full(self.size + 1, LEVELS - 1, np.int64)  # the last one is for no id
+        self.level = np.full(self.size + 1, LEVELS - 1, np.int32)  # the last one is for no id
         total = int(counts.sum())
         bounds = np.array([math.isqrt(total * total >> k) for k in range(LEVELS - 1)])
         self.level[self.ids] = np.searchsorted(-bounds, -counts)
 
     def predict(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
-        """The probability that the first candidate comes next in each lane, given the two ids before (vocabulary size: none); 0 where there is no candidate."""
+        """For each lane, given the two ids before (vocabulary size: none), the bounds of SHARE's parts: for the first candidate, order 1's own, a new id, one seen before."""
         self.c1 = before1
-        self.c2 = (before2 * np.int32(40_503) ^ before1 * np.int32(2_971)) & np.int32((1 << ORDER2_BITS) - 1)
-        self.v1, self.v2 = self.follow1.take(self.c1), self.follow2.take(self.c2)
-        self.p1, self.p2 = self.v1 >> 3, self.v2 >> 3
-        has2, has1 = self.v2 >= 0, self.v1 >= 0
-        self.a = np.where(has2, self.p2, self.p1)
-        same = has1 & (self.p1 == self.a)
-        self.x2 = np.where(has2, self.v2 & 7, 8)
-        self.x1 = np.where(has1, (self.v1 & 7) + 8 * ~same, 16)
-        self.x0 = self.level.take(self.a)  # -1 takes the last
-        p = self.first.mixed([self.by2.stretched(self.x2), self.by1.stretched(self.x1), self.by0.stretched(self.x0)], has2 * 2 + same)
-        return np.where(self.a >= 0, p, 0).astype(np.uint64)
-
-    def retry(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lanes whose first candidate did not come and order 1 has another, and how likely that is."""
-        some = np.flatnonzero(~hit & (self.v1 >= 0) & (self.p1 != self.a))
-        self.y1, self.y0 = self.v1[some] & 7, self.level.take(self.p1[some])
-        return some, self.second.mixed([self.own1.stretched(self.y1), self.own0.stretched(self.y0)], np.zeros(len(some), np.int64)).astype(np.uint64)
-
-    def fresh_odds(self) -> np.uint64:
-        return np.uint64(min(ONE - 1, max(1, int((self.fresh.hits[0] << 16) // self.fresh.n[0]))) if len(self.ids) else ONE)
-
-    def learn(self, ids: np.ndarray, hit: np.ndarray, again: np.ndarray, rest_new: np.ndarray) -> None:
-        """hit: of every lane; again: of those that retry() gave; rest_new: of the rest, whether the id was new."""
-        at = np.flatnonzero(self.a >= 0)
-        if len(at) == len(hit):
-            self.first.learn(hit)
-        elif len(at):
-            m = self.first
-            m.inputs, m.use, m.p = [x[at] for x in m.inputs], m.use[at], m.p[at]
-            m.learn(hit[at])
-        for odds, x in ((self.by2, self.x2), (self.by1, self.x1), (self.by0, self.x0)):
-            odds.learn(x[at], hit[at])
-        if len(again):
-            self.second.learn(again)
-            self.own1.learn(self.y1, again)
-            self.own0.learn(self.y0, again)
-        self.fresh.learn(np.zeros(len(rest_new), np.int64), rest_new)
-        new = ids << 3
-        for follow, c, v, p in ((self.follow1, self.c1, self.v1, self.p1), (self.follow2, self.c2, self.v2, self.p2)):
-            s = v & 7
-            follow[c] = np.where(p == ids, v + (s < SURE), np.where((s < 2) | (v < 0), new, v - s + (s >> 1)))
+        self.c2 = (before2 * 40_503 ^ before1 * 2_971) & ((1 << ORDER2_BITS) - 1)
+        self.v1, self.v2 = self.follow1.take(self.c1, mode="clip"), self.follow2.take(self.c2, mode="clip")
+        self.s1, self.s2 = self.v1 & 7, self.v2 & 7
+        self.p1 = self.v1 >> 3
+        none1, none2 = self.v1 >= self.none, self.v2 >= self.none
+        self.a = np.where(none2, self.p1, self.v2 >> 3)
+        self.other = (self.p1 != self.a) & ~none1
+        self.x = (((self.s2 | bit(none2, 3)) * 17 + (self.s1 | bit(self.other, 3) | bit(none1, 4))) << 5) + self.level.take(self.a, mode="clip")
+        self.y = (self.s1 << 5) + self.level.take(self.p1, mode="clip")
+        p = self.first.mixed()
+        p[-1] = 0  # no order has a candidate
+        ends = np.zeros((5, len(before1)), np.uint64)
+        np.left_shift(p.take(self.x, mode="clip").view(np.uint64), SPARE, out=ends[1])
+        left = SHARE - ends[1]
+        two = left * self.second.mixed().take(self.y, mode="clip").view(np.uint64) * self.other >> PROBABILITY
+        np.add(ends[1], two, out=ends[2])
+        left -= two
+        if len(self.ids):
+            p = min(ONE - 1, max(1, int((self.fresh.hits[0] << 16) // self.fresh.n[0])))
+            left = np.minimum(np.maximum(left * np.uint64(p) >> PROBABILITY, np.uint64(1)), left - np.uint64(1))
+        np.add(ends[2], left, out=ends[3])
+        ends[4] = SHARE
+        return ends
+
+    def learn(self, ids: np.ndarray, part: np.ndarray, new: int) -> None:
+        """part: in which of SHARE's parts each lane's id was; new: how many in the third."""
+        hit, again = part == 0, part == 1
+        seen = self.first.seen(self.x, hit)
+        seen[:, -1] = 0
+        self.first.learn(seen)
+        tried = np.flatnonzero(self.other & ~hit)
+        if len(tried):
+            self.second.learn(self.second.seen(self.y[tried], again[tried]))
+        self.fresh.learn(np.array([new]), np.array([np.count_nonzero(part > 1)]))
+        fresh = (ids << 3).astype(np.int32)
+        for follow, c, v, s in ((self.follow1, self.c1, self.v1, self.s1), (self.follow2, self.c2, self.v2, self.s2)):
+            kept = v - s
+            follow[c] = np.where(s < 2, fresh, kept) + AFTER.take(s + bit(kept == fresh, 3), mode="clip")
         np.add.at(self.count, ids, 1)
         self.steps += 1
         if self.steps & (self.steps - 1) == 0 or self.steps % 16 == 0:
@@ -191,27 +235,26 @@ class Encoder:
         low, rng = self.low[at] + first * unit, unit * width
         go = narrowed(low, rng)
         if len(go):
-            self.words.append((go if isinstance(at, slice) else at[go], (low[go] >> HALF).astype(np.uint32)))
+            self.words.append(((go if isinstance(at, slice) else at[go]).astype(np.uint16), (low[go] >> HALF).astype(np.uint32)))
             low[go] <<= HALF
             rng[go] <<= HALF
         self.low[at], self.range[at] = low, rng
 
     def streams(self) -> list[bytes]:
         """Each lane's bytes, ended by as few as name a number in its range (missing ones are read as 0)."""
-        lanes = np.concatenate([a for a, _ in self.words]) if self.words else np.zeros(0, np.int64)
+        lanes = np.concatenate([a for a, _ in self.words]) if self.words else np.zeros(0, np.uint16)
         words = np.concatenate([w for _, w in self.words]) if self.words else np.zeros(0, np.uint32)
         order = np.argsort(lanes, kind="stable")
-        ends = np.searchsorted(lanes[order], np.arange(len(self.low)), side="right").tolist()
-        data, at, out = words[order].astype(">u4").tobytes(), 0, []
-        for low, rng, end in zip(self.low.tolist(), self.range.tolist(), ends, strict=True):
-            tail = b""
-            for k in range(9):
-                unit = 1 << (64 - 8 * k)
-                v = -(-low // unit) * unit
-                if v < low + rng and v < 1 << 64:
-                    tail = v.to_bytes(8, "big")[:k]
-                    break
-            out.append(data[4 * at : 4 * end] + tail)
+        ends = np.cumsum(np.bincount(lanes, minlength=len(self.low))).tolist()
+        tail, size = np.zeros(len(self.low), np.uint64), np.where(self.low == 0, 0, 8)
+        for k in range(8, 0, -1):
+            rest = np.uint64((1 << (64 - 8 * k)) - 1)
+            v = (self.low + rest) & ~rest  # 0 beyond the last number
+            fits = (v >= self.low) & (v - self.low < self.range) & (size > 0)
+            tail[fits], size[fits] = v[fits], k
+        tails, data, at, out = tail.astype(">u8").tobytes(), words[order].astype(">u4").tobytes(), 0, []
+        for k, (end, n) in enumerate(zip(ends, size.tolist(), strict=True)):
+            out.append(data[4 * at : 4 * end] + tails[8 * k : 8 * k + n])
             at = end
         return out
 
@@ -226,9 +269,13 @@ class Decoder:
         self.code = self.words[self.next] << HALF | self.words[self.next + 1]
         self.next += 2
 
-    def target(self, at: np.ndarray | slice, total: np.ndarray | np.uint64) -> np.ndarray:
+    def offset(self, at: np.ndarray | slice, total: np.uint64) -> np.ndarray:
+        """How far into the lanes' ranges their codes lie; the unit is a total's part of the range."""
         self.unit = self.range[at] // total
-        return np.minimum((self.code[at] - self.low[at]) // self.unit, total - np.uint64(1))
+        return self.code[at] - self.low[at]
+
+    def target(self, at: np.ndarray | slice, total: np.uint64) -> np.ndarray:
+        return np.minimum(self.offset(at, total) // self.unit, total - np.uint64(1))
 
     def take(self, at: np.ndarray | slice, first: np.ndarray, width: np.ndarray) -> None:
         low, rng = self.low[at] + first * self.unit, self.unit * width
@@ -242,40 +289,37 @@ class Decoder:
         self.low[at], self.range[at] = low, rng
 
 
+def share(ends: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each lane's part begins and how wide it is."""
+    n = ends.shape[1]
+    at = part.astype(np.int64) * n + np.arange(n)
+    first = ends.ravel().take(at, mode="clip")
+    return first, ends.ravel().take(at + n, mode="clip") - first
+
+
 def code_ids(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     """The lanes' streams of a block's ids."""
     n = len(ids)
     lanes, steps = lanes_of(n)
     coder, model = Encoder(lanes, steps), Model(vocabulary)
-    table = np.ascontiguousarray(np.pad(ids.astype(np.int32), (0, lanes * steps - n)).reshape(lanes, steps).T)
-    before1 = before2 = np.full(lanes, vocabulary, np.int32)
-    one = np.uint64(ONE)
-
-    def decide(at: np.ndarray | slice, yes: np.ndarray, p: np.ndarray) -> None:
-        coder.put(at, np.where(yes, np.uint64(0), p), np.where(yes, p, one - p), one)
-
+    table = np.ascontiguousarray(np.pad(ids.astype(np.int64), (0, lanes * steps - n)).reshape(lanes, steps).T)
+    before1 = before2 = np.full(lanes, vocabulary)
     for t in range(steps):
         live = min(lanes, max(0, -(-(n - t) // steps)))
         x = table[t, :live]
-        p = model.predict(before2[:live], before1[:live])
-        hit = x == model.a
-        decide(slice(0, live), hit, p)
-        some, p = model.retry(hit)
-        again = x[some] == model.p1[some]
-        decide(some, again, p)
-        left = ~hit
-        left[some[again]] = False
-        left = np.flatnonzero(left)
-        place = model.place.take(x[left])
-        new = place < 0
-        decide(left, new, np.full(len(left), model.fresh_odds()))
-        if len(at := left[~new]):
-            place = place[~new]
+        ends = model.predict(before2[:live], before1[:live])
+        miss = x != model.a
+        left = miss & (x != model.p1)
+        place = model.place.take(x, mode="clip")
+        part = miss.view(np.int8) + left.view(np.int8) + (left & (place >= 0)).view(np.int8)
+        coder.put(slice(0, live), *share(ends, part), SHARE)
+        if len(at := np.flatnonzero(part == 3)):
+            place = place[at]
             lo = model.cum.take(place)
             coder.put(at, lo, model.cum.take(place + 1) - lo, model.cum[-1])
-        if len(at := left[new]):
+        if len(at := np.flatnonzero(part == 2)):
             coder.put(at, x[at].astype(np.uint64), np.ones(len(at), np.uint64), np.uint64(vocabulary))
-        model.learn(x, hit, again, new)
+        model.learn(x, part, len(at))
         before2, before1 = before1[:live], x
     return coder.streams()
 
@@ -284,35 +328,25 @@ def uncode_ids(streams: list[bytes], n: int, vocabulary: int) -> np.ndarray:
     lanes, steps = lanes_of(n)
     coder, model = Decoder(streams), Model(vocabulary)
     table = np.zeros((steps, lanes), np.int32)
-    before1 = before2 = np.full(lanes, vocabulary, np.int32)
-    one = np.uint64(ONE)
-
-    def decided(at: np.ndarray | slice, p: np.ndarray) -> np.ndarray:
-        yes = coder.target(at, one) < p
-        coder.take(at, np.where(yes, np.uint64(0), p), np.where(yes, p, one - p))
-        return yes
-
+    before1 = before2 = np.full(lanes, vocabulary)
     for t in range(steps):
         live = min(lanes, max(0, -(-(n - t) // steps)))
-        hit = decided(slice(0, live), model.predict(before2[:live], before1[:live]))
-        x = np.where(hit, model.a, model.p1)
-        some, p = model.retry(hit)
-        again = decided(some, p)
-        left = ~hit
-        left[some[again]] = False
-        left = np.flatnonzero(left)
-        new = decided(left, np.full(len(left), model.fresh_odds()))
-        if len(at := left[~new]):
+        ends, at = model.predict(before2[:live], before1[:live]), slice(0, live)
+        offset = coder.offset(at, SHARE)
+        part = sum((offset >= ends[k] * coder.unit).view(np.int8) for k in (1, 2, 3))
+        coder.take(at, *share(ends, part))
+        x = np.where(part, model.p1, model.a).astype(np.int64)
+        if len(at := np.flatnonzero(part == 3)):
             place = model.holder.take(coder.target(at, model.cum[-1]).astype(np.int64))
             lo = model.cum.take(place)
             coder.take(at, lo, model.cum.take(place + 1) - lo)
             x[at] = model.ids.take(place)
-        if len(at := left[new]):
+        if len(at := np.flatnonzero(part == 2)):
             v = coder.target(at, np.uint64(vocabulary))
             coder.take(at, v, np.ones(len(at), np.uint64))
-            x[at] = v.astype(np.int32)
+            x[at] = v.astype(np.int64)
         table[t, :live] = x
-        model.learn(x, hit, again, new)
+        model.learn(x, part, len(at))
         before2, before1 = before1[:live], x
     return table.T.reshape(-1)[:n]
 
@@ -367,66 +401,161 @@ def pieces_of(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-class WordIds(dict):
-    """The place of each blank-separated word, whose ids the library makes once.
+def gathered(flat: np.ndarray, end: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of flat in the order of at, one after the other, and where each ends in the result. end, size: of each run in flat."""
+    n = size[at]
+    ends = np.cumsum(n)
+    return flat[np.arange(len(ends) and ends[-1]) + np.repeat(end[at] - ends, n)], ends
 
-    The tokenizer drops blanks and lets no token cross one, so the ids of a text are those of its words. Words and ids are
-    forgotten when they get many or large; nothing depends on what is kept.
-    """
 
-    def __init__(self, tokenizer):
+class KeptIds(dict):
+    """The place of each string met so far, and the ids of all of them in arrays. The first string is given, and has no ids."""
+
+    def __init__(self, blank: str):
         super().__init__()
-        self.tokenizer = tokenizer
-        ids = self.made([BREAK])[0]
-        self.break_id = int(ids[0]) if len(ids) == 1 else -1
+        self.blank = blank
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.new: list[bytes] = []
-        self.bytes, self.flat = 0, np.zeros(0, np.int32)
-        self.first = self.size = np.zeros(0, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self)
-        self.new.append(word)
-        self.bytes += len(word)
+        self[self.blank] = 0
+        self.new: list[str] = []
+        self.chars, self.flat = 0, np.zeros(0, np.int32)
+        self.end = self.size = np.zeros(1, np.int64)
+
+    def __missing__(self, string: str) -> int:
+        at = self[string] = len(self)
+        self.new.append(string)
+        self.chars += len(string)
+        return at
+
+    def full(self) -> bool:
+        return len(self) > KEPT_WORDS or self.chars > KEPT_CHARS
+
+    def places(self, strings: list[str], made) -> np.ndarray:
+        """The place of each string. made: gives the ids of those not met so far, one after the other, and how many each has."""
+        at = np.fromiter(map(self.__getitem__, strings), np.int64, len(strings))
+        if self.new:
+            flat, size = made(self.new)
+            self.end = np.concatenate([self.end, len(self.flat) + np.cumsum(size)])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, flat])
+            self.new = []
         return at
 
-    def made(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings of these places, one after the other, and where those of each end."""
+        return gathered(self.flat, self.end, self.size, at)
+
+
+class WordIds:
+    """The ids of texts by those of their distinct blank-separated words.
+
+    The tokenizer drops blanks and lets no token cross one, so the ids of a text are those of its words. With a second
+    tokenizer from cut_tokenizer(), plain words are cut where the first would cut them, and the library makes the ids of
+    each distinct piece. What was given to the library is kept, and forgotten when it gets many or large; nothing depends on it.
+    """
+
+    def __init__(self, tokenizer, of_pieces=None):
+        self.tokenizer, self.of_pieces = tokenizer, of_pieces
+        ids = self.made(tokenizer, [BREAK])[0]
+        self.break_id = int(ids[0]) if len(ids) == 1 else -1
+        if of_pieces:
+            self.last = np.zeros(of_pieces.get_vocab_size(), bool)
+            self.last[[i for token, i in of_pieces.get_vocab().items() if token.endswith(END)]] = True
+        self.words, self.pieces = KeptIds(""), KeptIds("\n")
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def forget(self) -> None:
+        self.words.forget()
+        self.pieces.forget()
+
+    def made(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self) -> None:
-        words = [w.decode() for w in self.new]
+    def ids_apart(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        apart = self.made(tokenizer, words)
+        return np.concatenate(apart), np.fromiter(map(len, apart), np.int64, len(apart))
+
+    def ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By a text of many words, with one between them that has one id."""
+        flat, sizes = [], []
         groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
-        flat, sizes = [self.flat], []
-        for some, ids in zip(groups, self.made([f" {BREAK} ".join(g) for g in groups]), strict=True):
+        for some, ids in zip(groups, self.made(self.tokenizer, [f" {BREAK} ".join(g) for g in groups]), strict=True):
             cuts = np.flatnonzero(ids == self.break_id)
             if len(cuts) == len(some) - 1:
-                flat.append(np.delete(ids, cuts))
-                sizes.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+                ids, size = np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
             else:  # a word gives that id itself
-                apart = self.made(some)
-                flat += apart
-                sizes.append(np.fromiter(map(len, apart), np.int64, len(apart)))
-        size = np.concatenate(sizes)
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate(flat)
-        self.new = []
+                ids, size = self.ids_apart(self.tokenizer, some)
+            flat.append(ids)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def ids_of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By a text of many pieces: the last id of each is one of those that end a piece."""
+        flat, sizes = [], []
+        groups = [pieces[at : at + TOGETHER] for at in range(0, len(pieces), TOGETHER)]
+        for some, ids in zip(groups, self.made(self.of_pieces, [" ".join(g) for g in groups]), strict=True):
+            size = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+            if len(size) != len(some) or size.sum() != len(ids):
+                ids, size = self.ids_apart(self.of_pieces, some)
+            flat.append(ids)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def ids_of_plain_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py()
+        at = self.pieces.places(CUT.findall(text.lower() + "\n"), self.ids_of_pieces)
+        flat, end = self.pieces.ids(at)
+        return flat, np.diff(end[at == 0], prepend=0)
+
+    def ids_of_other_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        flat, end = self.words.ids(self.words.places(words.to_pylist(), self.ids_of_words))
+        return flat, np.diff(end, prepend=0)
+
+    def ids_of_distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        if not self.of_pieces:
+            return self.ids_of_other_words(words)
+        odd = pc.match_substring_regex(words, ODD).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self.ids_of_plain_words(words)
+        order = np.argsort(odd, kind="stable")
+        plain, other = np.split(order, [len(words) - np.count_nonzero(odd)])
+        flat, size = self.ids_of_other_words(words.take(pa.array(other)))
+        if len(plain):
+            a, n = self.ids_of_plain_words(words.take(pa.array(plain)))
+            flat, size = np.concatenate([a, flat]), np.concatenate([n, size])
+        back = np.argsort(order)
+        return gathered(flat, np.cumsum(size), size, back)[0], size[back]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self) > KEPT_WORDS or self.bytes > KEPT_BYTES:
-            self.forget()
-        places = [np.fromiter(map(self.__getitem__, t.encode().split()), np.int64) for t in texts]
-        if self.new:
-            self.learn()
-        ends = np.cumsum([0, *map(len, places)])
-        at = np.concatenate(places)
-        size = self.size[at]
-        end = np.cumsum(size)
-        ids = self.flat[np.arange(len(at) and end[-1]) + np.repeat(self.first[at] - end + size, size)]
-        return np.split(ids, np.concatenate([[0], end])[ends[1:-1]])
+        for kept in (self.words, self.pieces):
+            if kept.full():
+                kept.forget()
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        words = split.flatten().dictionary_encode()
+        flat, size = self.ids_of_distinct(words.dictionary)
+        ids, end = gathered(flat, np.cumsum(size), size, words.indices.to_numpy())
+        return np.split(ids, np.concatenate([[0], end])[split.offsets.to_numpy()[1:-1]])
+
+
+def cut_tokenizer(tokenizer):
+    """The same tokenizer for pieces that are in lower case and cut already, with a blank between them; None if it isn't of the kind that CUT is of."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(tokenizer.to_str())
+    model = spec["model"]
+    if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != PRE_TOKENIZER or spec["post_processor"] or spec["truncation"] or spec["padding"]:
+        return None
+    if model["type"] != "BPE" or model["dropout"] or model["unk_token"] or model["end_of_word_suffix"] != END or model["continuing_subword_prefix"]:
+        return None
+    if not all(a["content"].startswith("<|") for a in spec["added_tokens"]):
+        return None
+    spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": PRE_TOKENIZER | {"pretokenizers": [{"type": "WhitespaceSplit"}, *PRE_TOKENIZER["pretokenizers"][1:]]}}
+    return Tokenizer.from_str(json.dumps(spec))
 
 
 @lru_cache(1)
@@ -435,7 +564,8 @@ def word_ids(tokenizer_path: str) -> WordIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return WordIds(Tokenizer.from_file(tokenizer_path))
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    return WordIds(tokenizer, cut_tokenizer(tokenizer))
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, vocabulary: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -465,7 +595,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for a, b, texts in groups_of(batch, 1, 1_000_000):
+            for a, b, texts in groups_of(batch, 1):
                 if len(texts) == 1 and len(texts[0]) > PIECE:
                     coded = [np.concatenate([x for p in pieces_of(texts[0]) for x in words.encode([p])])]
                 else:

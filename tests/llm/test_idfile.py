@@ -132,3 +132,58 @@ def test_new_words_go_to_the_library_together(tokenizer):
     for some in (odd, *([t] for t in odd), odd[::-1] + plain[:3]):
         words.forget()
         assert [x.tolist() for x in words.encode(some)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
+class Given:
+    """A tokenizer that notes what it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **kw):
+        self.texts.extend(texts)
+        return self.tokenizer.encode_batch_fast(texts, **kw)
+
+
+def test_pieces_go_to_the_library_once(tokenizer):
+    """Words that differ in case and in what stands around them share their pieces."""
+    whole, pieces = Given(tokenizer), Given(idfile.cut_tokenizer(tokenizer))
+    words = idfile.WordIds(whole, pieces)
+    whole.texts.clear()
+    texts = [f"straße{i}x Straße{i}x, (straße{i}x) 'STRAßE{i}X'! straße{i}x's..." for i in range(10, 400)]
+    assert [x.tolist() for x in words.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    met = " ".join(pieces.texts).split(" ")
+    assert not whole.texts and len(met) == len(set(met)) < 30
+
+
+def test_ids_by_pieces_are_those_of_the_text(tokenizer, monkeypatch):
+    rnd = random.Random(6)
+    plain = [chr(c) for c in range(0x21, 0x180) if not 0x7F <= c < 0xA1]
+    bits = [*" \t\n\r\x0b\x0c\x1c\x85\xa0", "'s", "'Re", "'LL", "don't", "́", "<|endoftext|>", "<|", "|>", "</w>", "\x01", "Σ", "İ", "ÄÖÜß", "é", "²"]
+    texts = ["".join(rnd.choice([*bits, rnd.choice(plain), rnd.choice(plain)]) for _ in range(rnd.randrange(40))) for _ in range(6_000)]
+    texts += [f"a{c}b {c} {c}{c} it's{c}D\t{c}S {c}'s" for c in map(chr, range(1, 0x500))] + ["", " ", "x" * 3_000, "Ab1" * 900]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept in (idfile.KEPT_WORDS, 50):
+        monkeypatch.setattr(idfile, "KEPT_WORDS", kept)
+        words = idfile.WordIds(tokenizer, idfile.cut_tokenizer(tokenizer))
+        got = [x.tolist() for at in range(0, len(texts), 400) for x in words.encode(texts[at : at + 400])]
+        assert got == want
+
+
+def test_only_its_own_kind_of_tokenizer_is_cut():
+    from tokenizers import Tokenizer
+
+    assert idfile.cut_tokenizer(Tokenizer.from_file(P.path("byte_bpe_50k.json"))) is None
+
+
+def test_a_lane_is_put_twice_a_step_at_most(monkeypatch):
+    """Once for which prediction came true, and for its id where none did."""
+    put, lanes = idfile.Encoder.put, []
+    monkeypatch.setattr(idfile.Encoder, "put", lambda self, at, first, *rest: (lanes.append(len(first)), put(self, at, first, *rest)))
+    ids = np.random.default_rng(4).integers(0, 400, 50_000) ** 2 // 400
+    streams = idfile.code_ids(ids, 49_408)
+    assert sum(lanes) <= 2 * len(ids)
+    assert (idfile.uncode_ids(streams, len(ids), 49_408) == ids).all()
