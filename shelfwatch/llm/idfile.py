@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import Workspace, batch_of, groups_of, keyed_text
+from shelfwatch.llm.common import BATCH_BYTES, Workspace, batch_of, groups_of, keyed_text
 
 MAGIC = b"IDB2"
 BLOCK = 1 << 20
@@ -45,8 +45,9 @@ PROBABILITY, SPARE = np.uint64(16), np.uint64(8)
 SHARE = np.uint64(1 << 24)  # of a lane's range, before it is dealt to what may come
 LEVELS = 32  # of order 0's frequencies: half powers of two
 RATE = 14  # by which power of two the mixing weights' mean gradient is divided, less two
+EACH, EVERY = 32, 4  # steps after each of which the mixers learn, and how often from then on
 PIECE = 200_000
-KEPT_WORDS, KEPT_CHARS = 500_000, 32 << 20
+KEPT_WORDS, KEPT_CHARS = 700_000, 32 << 20
 END = "</w>"
 #: What the tokenizer does to a text, as its file says it.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -58,7 +59,7 @@ PRE_TOKENIZER = {
     ],
 }
 #: The same for words of ASCII and Latin-1 letters in lower case, ended by newlines; and what makes a word other than those: a further character, or a special token's beginning.
-CUT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
+CUT = re.compile(r"[a-zß-öø-ÿ]+|\n|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
 ODD = r"[^\x21-\x7EÀ-ÖØ-öø-ÿ]|<\|"
 TOGETHER, BREAK = 256, "\x01"  # so many new words go to the library as one text, with a word between them that has one id
 #: Log odds (256 is 1) of probabilities by 16ths of 1/4096, and probabilities of log odds from -2047.
@@ -94,25 +95,25 @@ class Mixer:
         """use: the set of weights by row."""
         self.orders, self.order0, self.use, self.sets = orders, order0, use, int(use.max()) + 1
         self.states = np.indices([o.states for o in orders]).reshape(len(orders), -1)
+        self.seen = 0
         self.size = len(use) * order0.states
         self.weights = np.full((self.sets, len(orders) + 1), (ONE * 6 // 10), np.int64)
 
-    def mixed(self) -> np.ndarray:
-        """The probability by joint state."""
+    def mix(self) -> None:
+        """Make the probability by joint state."""
         weights = self.weights[self.use]
         self.inputs, self.column = [o.stretched()[x] for o, x in zip(self.orders, self.states, strict=True)], self.order0.stretched()
         rows = sum(x * weights[:, k] for k, x in enumerate(self.inputs))
         dot = (rows[:, None] + weights[:, -1:] * self.column) >> 16
         self.p = SQUASH.take(dot + 2047, mode="clip")
-        return self.p.ravel()
 
-    def seen(self, state: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        """How many lanes missed and how many hit, by joint state."""
-        return np.bincount(state + hit * np.int32(self.size), minlength=2 * self.size).reshape(2, -1)
+    def see(self, state: np.ndarray, hit: np.ndarray) -> None:
+        """Count the lanes that missed and those that hit, by joint state, until they are learned from."""
+        self.seen = self.seen + np.bincount(state + hit * np.int32(self.size), minlength=2 * self.size)
 
-    def learn(self, seen: np.ndarray) -> None:
+    def learn(self) -> None:
         """Down the coding cost's gradient, by its mean over the lanes; sums of integers in doubles are exact."""
-        missed, hits = seen.reshape(2, len(self.use), -1)
+        (missed, hits), self.seen = self.seen.reshape(2, len(self.use), -1), 0
         of = missed + hits
         error = (hits * ONE - of * self.p).astype(float)
         n, by_row = of.sum(axis=1), error.sum(axis=1)
@@ -145,6 +146,12 @@ class Model:
         self.count = np.zeros(vocabulary, np.int64)
         self.steps = 0
         self.snapshot()
+        self.mix()
+
+    def mix(self) -> None:
+        self.first.mix()
+        self.second.mix()
+        self.first.p[-1, -1] = 0  # no order has a candidate
 
     def snapshot(self) -> None:
         """The ids seen so far, with cumulative counts, as order 0 uses them until the next one."""
@@ -167,16 +174,15 @@ class Model:
         self.s1, self.s2 = self.v1 & 7, self.v2 & 7
         self.p1 = self.v1 >> 3
         none1, none2 = self.v1 >= self.none, self.v2 >= self.none
-        self.a = np.where(none2, self.p1, self.v2 >> 3)
+        p2 = self.v2 >> 3
+        self.a = p2 ^ ((p2 ^ self.p1) & -bit(none2, 0))
         self.other = (self.p1 != self.a) & ~none1
         self.x = (((self.s2 | bit(none2, 3)) * 17 + (self.s1 | bit(self.other, 3) | bit(none1, 4))) << 5) + self.level.take(self.a, mode="clip")
         self.y = (self.s1 << 5) + self.level.take(self.p1, mode="clip")
-        p = self.first.mixed()
-        p[-1] = 0  # no order has a candidate
         ends = np.zeros((5, len(before1)), np.uint64)
-        np.left_shift(p.take(self.x, mode="clip").view(np.uint64), SPARE, out=ends[1])
+        np.left_shift(self.first.p.take(self.x, mode="clip").view(np.uint64), SPARE, out=ends[1])
         left = SHARE - ends[1]
-        two = left * self.second.mixed().take(self.y, mode="clip").view(np.uint64) * self.other >> PROBABILITY
+        two = left * self.second.p.take(self.y, mode="clip").view(np.uint64) * self.other.view(np.uint8) >> PROBABILITY
         np.add(ends[1], two, out=ends[2])
         left -= two
         if len(self.ids):
@@ -189,17 +195,19 @@ class Model:
     def learn(self, ids: np.ndarray, part: np.ndarray, new: int) -> None:
         """part: in which of SHARE's parts each lane's id was; new: how many in the third."""
         hit, again = part == 0, part == 1
-        seen = self.first.seen(self.x, hit)
-        seen[:, -1] = 0
-        self.first.learn(seen)
+        self.first.see(self.x, hit)
+        self.first.seen[[self.first.size - 1, -1]] = 0
         tried = np.flatnonzero(self.other & ~hit)
-        if len(tried):
-            self.second.learn(self.second.seen(self.y[tried], again[tried]))
+        self.second.see(self.y[tried], again[tried])
+        if self.steps < EACH or self.steps % EVERY == 0:
+            self.first.learn()
+            self.second.learn()
+            self.mix()
         self.fresh.learn(np.array([new]), np.array([np.count_nonzero(part > 1)]))
         fresh = (ids << 3).astype(np.int32)
         for follow, c, v, s in ((self.follow1, self.c1, self.v1, self.s1), (self.follow2, self.c2, self.v2, self.s2)):
             kept = v - s
-            follow[c] = np.where(s < 2, fresh, kept) + AFTER.take(s + bit(kept == fresh, 3), mode="clip")
+            follow[c] = (fresh ^ ((fresh ^ kept) & -bit(s > 1, 0))) + AFTER.take(s + bit(kept == fresh, 3), mode="clip")
         np.add.at(self.count, ids, 1)
         self.steps += 1
         if self.steps & (self.steps - 1) == 0 or self.steps % 16 == 0:
@@ -595,7 +603,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for a, b, texts in groups_of(batch, 1):
+            for a, b, texts in groups_of(batch, 1, BATCH_BYTES):
                 if len(texts) == 1 and len(texts[0]) > PIECE:
                     coded = [np.concatenate([x for p in pieces_of(texts[0]) for x in words.encode([p])])]
                 else:
